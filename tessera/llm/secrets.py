@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm import common as C
 
 MIN_LENGTH, MIN_NOVELTY, SURROUND, MASK = 16, 0.8, 1024, "<SECRET>"
+PIECE = 56
 CUES = ("token", "secret", "passw", "pwd", "api_key", "apikey", "api-key", "access_key", "access-key", "accesskey", "private_key", "auth", "bearer", "credential", "signature", "client_id")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "ghu_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "sk-", "sk_live_", "rk_live_", "AIza", "eyJ", "npm_", "hf_")
 IDENTIFIERS = (
@@ -49,12 +50,20 @@ _PRIMER = (IDENTIFIERS.upper() + IDENTIFIERS).encode()
 
 
 def marginal_bytes(candidate: str, around: str) -> int:
-    """Bytes that the candidate takes beyond an empty frame, given the identifiers and what surrounds it."""
+    """Bytes that the candidate takes beyond an empty frame, given the identifiers and what surrounds it.
+
+    It is measured in pieces, each primed with the SURROUND characters of the candidate before it: from
+    about 64 literals on the compressor recodes the alphabet, which would make a long hexadecimal key
+    look half known though nothing in it has been seen.
+    """
     import zstandard
 
-    known = _PRIMER + around.encode("utf-8", "replace")
-    c = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
-    return len(c.compress(candidate.encode("utf-8", "replace"))) - len(c.compress(b""))
+    total = 0
+    for at in range(0, len(candidate), PIECE):
+        known = _PRIMER + (around + candidate[max(0, at - SURROUND) : at]).encode("utf-8", "replace")
+        c = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
+        total += len(c.compress(candidate[at : at + PIECE].encode("utf-8", "replace"))) - len(c.compress(b""))
+    return total
 
 
 def scan(text: str) -> list[tuple[int, int, str, int]]:

@@ -23,6 +23,14 @@ def test_finds_keys_and_leaves_names_alone():
         assert secrets.scan(t) == [], t
 
 
+def test_long_keys_are_as_novel_as_short_ones():
+    rnd = random.Random(7)
+    for n in (20, 40, 64, 80, 128, 256, 1000, 5000):
+        k = key(rnd, n)
+        assert [t[:2] for t in secrets.scan(f'token = "{k}"')] == [(9, 9 + n)]
+    assert secrets.scan(f'token = "{key(rnd, 20) * 60}"') == [] and secrets.scan("token = " + "GetAccessTokenProvider" * 40) == []
+
+
 def test_planted_tokens_of_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     text = {r.doc_id: r.text for r in docs.collect()}
