@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tessera.functions import paths, text
 from tessera.parsing import scanner
@@ -45,7 +46,7 @@ def with_symbols(files: DataFrame, content: str = "content", into: str = "symbol
 
     binary = files[content] if dict(files.dtypes)[content] == "binary" else files[content].cast("binary")
     parsed = F.coalesce(supported(files["path"], known) & text.is_utf8(binary), F.lit(False))
-    schema = files.schema.add(into, SYMBOL_ARRAY)
+    schema = StructType([*files.schema.fields, StructField(into, SYMBOL_ARRAY)])
     rest = files.where(~parsed).withColumn(into, F.lit(None).cast(SYMBOL_ARRAY))
     return files.where(parsed).mapInArrow(run, schema).unionByName(rest)
 
