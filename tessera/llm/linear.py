@@ -7,7 +7,7 @@ adding up one row of weights for every gram, without building its vector.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -139,12 +139,13 @@ def softmax(s: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def sample(docs: DataFrame, target: Column, rows: int, fold: bool) -> tuple[list, list]:
+def sample(docs: DataFrame, target: Column | None, rows: int, fold: bool, judge: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[list, list]:
     """Vectors and targets of at most ``rows`` labelled documents, those with the least hash of their ids.
 
-    Two passes: ids first, then only their texts; vectors are built on the executors.
+    Two passes: ids first, then only their texts; vectors are built on the executors.  Instead of a
+    target column, ``judge`` can give an integer target of each chosen text from its bytes.
     """
-    labelled = docs.select("doc_id", "text", target.alias("y")).where("doc_id is not null and text is not null and y is not null")
+    labelled = docs.select("doc_id", "text", (F.lit(0) if target is None else target).alias("y")).where("doc_id is not null and text is not null and y is not null")
     chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     ids = [r[0] for r in chosen.collect()]  # at most ``rows`` integers
     if not ids:
@@ -155,7 +156,8 @@ def sample(docs: DataFrame, target: Column, rows: int, fold: bool) -> tuple[list
         for b in batches:
             data, off = C.buffers(b.column("text"))
             vs = [v for _, _, d, o in C.pieces(data, off) for v in vectors(d, o, fold)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("y"), pa.array([c.astype("<i4").tobytes() for c, _ in vs], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in vs], pa.binary())], names=["doc_id", "y", "c", "n"])
+            y = pa.array([int(c) for _, _, d, o in C.pieces(data, off) for c in judge(d, o)], pa.int32()) if judge else b.column("y")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), y, pa.array([c.astype("<i4").tobytes() for c, _ in vs], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in vs], pa.binary())], names=["doc_id", "y", "c", "n"])
 
     y_type = labelled.schema["y"].dataType.simpleString()
     got = labelled.join(few, "doc_id").select("doc_id", "text", "y").mapInArrow(run, f"doc_id long, y {y_type}, c binary, n binary").collect()

@@ -19,7 +19,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import common as C
 from tessera.llm import features, linear
@@ -83,8 +82,8 @@ def expectation_maximisation(codes: np.ndarray, counts: np.ndarray, rounds: int
 
 def _votes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for i, j, d, o in C.pieces(*C.buffers(b.column(1))):
-            yield pa.RecordBatch.from_arrays([b.column(0)[i:j].cast(pa.int64()), b.column(1)[i:j], pa.array(votes(d, o).astype(np.int32))], names=["doc_id", "text", "code"])
+        for _, _, d, o in C.pieces(*C.buffers(b.column(0))):
+            yield pa.RecordBatch.from_arrays([pa.array(votes(d, o).astype(np.int32))], names=["code"])
 
 
 def classify(docs: DataFrame, rows: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -92,7 +91,7 @@ def classify(docs: DataFrame, rows: int = SAMPLE, threshold: float = THRESHOLD)
     spark = docs.sparkSession
     C.ship(spark)
     base = C.require(docs, "doc_id", "text")
-    voted = base.mapInArrow(_votes, "doc_id long, text string, code int")
+    voted = base.select("text").mapInArrow(_votes, "code int")
     found = voted.groupBy("code").count().collect()  # at most 3^8 rows
     codes, counts = np.array([r["code"] for r in found], np.int64), np.array([r["count"] for r in found], float)
     post = expectation_maximisation(codes, counts)[0] if len(found) else np.zeros(0)
@@ -101,7 +100,7 @@ def classify(docs: DataFrame, rows: int = SAMPLE, threshold: float = THRESHOLD)
     shared_posterior = spark.sparkContext.broadcast(lookup)
 
     # the sample is chosen by ids; only its texts are voted on again
-    xs, ys = linear.sample(voted, F.col("code"), rows, fold=False)
+    xs, ys = linear.sample(base, None, rows, fold=False, judge=votes)
     y = lookup[np.array(ys, np.int64)] if len(ys) else np.zeros(0)
     table = None
     if len(y) and (y > threshold).any() and (y <= threshold).any():
