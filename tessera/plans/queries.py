@@ -56,10 +56,11 @@ def _listing(spark, d) -> DataFrame:
 
 
 def _code(spark, d) -> DataFrame:
-    """(path, content): one Python class with one method for each part."""
+    """(path, content): one Python class with one method for each part, spread over the cores as the source spreads a tree."""
     k, m = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     src = F.concat(F.lit("# é\nclass C"), k, F.lit(":\n    def m"), m, F.lit("(self):\n        return 1\n\ndef after():\n    pass\n"))
-    return _t(spark, d, "part").select("p_partkey", F.concat(F.lit("gen/"), k, F.lit(".py")).alias("path"), F.encode(src, "utf-8").alias("content"))
+    parts = _t(spark, d, "part").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    return parts.select("p_partkey", F.concat(F.lit("gen/"), k, F.lit(".py")).alias("path"), F.encode(src, "utf-8").alias("content"))
 
 
 # lengths in bytes: "# é\n" is 5; "class C" 7; ":\n    " 6; "def m" 5; "(self):\n        return 1" 24
