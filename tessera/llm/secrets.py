@@ -1,8 +1,15 @@
 """Secret scans by dictionary-primed zstandard novelty (operator 1).
 
-A candidate is a run of 16 or more token characters in a sensitive context: right after a cue
-(token, secret, password, api key ...) or starting with a well-known key prefix.  Its novelty is the
-number of bytes that it takes once the compressor is primed with a dictionary of common identifiers
+A candidate is a run of token characters or a quoted string without blanks that begins within NEAR
+characters after a cue (token, secret, password, api key ...), whatever stands between them on the line
+(operators, brackets, tags, type annotations, words, blanks), or a run with a well-known key prefix.
+Where words stand between, a run that isn't quoted needs a letter and a digit; where another key begins
+("token": x, "name": y), the cue's reach ends.  Over line ends only signs and blanks may stand between.
+From MIN_SHORT to MIN_LENGTH characters a word looks as new as a key does, so there a candidate needs
+signs or digits among its letters, save for quoted values right after password and secret, and it is
+measured behind a fixed lead, as a frame's own cost would hide that it is known.
+
+The novelty of a candidate is the number of bytes that it takes once the compressor is primed with a dictionary of common identifiers
 and with the surrounding text, divided by its length.  Names, paths, words and
 repeated boilerplate are found in the surroundings or the dictionary and add little; keys add about
 as many bytes as they have.  Candidates of at least MIN_NOVELTY are reported.
@@ -17,6 +24,7 @@ empty result; other columns are kept by redacted() and ignored by findings().
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -28,8 +36,9 @@ from pyspark.sql import functions as F
 from tessera.llm import common as C
 
 MIN_LENGTH, MIN_NOVELTY, SURROUND, MASK = 16, 0.8, 1024, "<SECRET>"
+MIN_SHORT, NEAR = 6, 64
 PIECE = 56
-CUES = ("token", "secret", "passw", "pwd", "api_key", "apikey", "api-key", "access_key", "access-key", "accesskey", "private_key", "auth", "bearer", "credential", "signature", "client_id")
+CUES = ("token", "secret", "passw", "pwd", "api_key", "apikey", "api-key", "access_key", "access-key", "accesskey", "private_key", "api key", "access key", "private key", "private-key", "privatekey", "client id", "auth", "bearer", "credential", "signature", "client_id")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "ghu_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "sk-", "sk_live_", "rk_live_", "AIza", "eyJ", "npm_", "hf_")
 IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000 11111111 12345678901234567890 xxxxxxxxxxxxxxxx XXXXXXXXXXXXXXXX your-token-here your_api_key_here REPLACE_ME changeme "
@@ -46,6 +55,15 @@ CANDIDATE = re.compile(
     rf"(?P<cue>(?i:{'|'.join(map(re.escape, CUES))}))[A-Za-z0-9_\-]{{0,24}}[\"'`]?[ \t]{{0,4}}(?:[:=]>?|(?i:is)\b)?[ \t]{{0,4}}[\"'`]?(?P<a>{_RUN})"
     rf"|(?<![A-Za-z0-9_\-])(?P<b>(?:{'|'.join(map(re.escape, PREFIXES))}){_RUN})"
 )
+_CUE = re.compile(rf"(?P<cue>{'|'.join(map(re.escape, CUES))})(?P<tail>[A-Za-z0-9_\-]{{0,24}})(?:[ \t]+(?:key|token|id|code|phrase)\b)?[\"'`]?", re.I)
+# a value begins at a quote that follows no word (but a string prefix), or at a word's first character
+_START = re.compile(r"(?:(?<!\w)|(?<=\b[bBrRuUfFL]))(?=[\"'`])|(?<![A-Za-z0-9_\-+/.~])(?=[A-Za-z0-9_\-+/.~])")
+_QUOTED = re.compile(rf"(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\s\\]|\\\S){{{MIN_SHORT},}})(?P=q)(?![A-Za-z0-9_])")
+_BARE = re.compile(rf"[A-Za-z0-9_\-+/.~]{{{MIN_SHORT},}}={{0,2}}")
+_SIGNED = re.compile(rf"(?![A-Za-z_][A-Za-z0-9_]*=(?!=*$))(?=[^\s<]{{0,64}}[A-Z])(?=[^\s<]{{0,64}}[a-z])(?=[^\s<]{{0,64}}\d)[^\s\"'`<>&;,(){{}}\[\]\\]{{{MIN_SHORT},}}")
+_OTHER_KEY = re.compile(r"[,;&{}]\s*[\"'`]?(?!(?:default|value|val|data|content|text)\b)[A-Za-z_][\w\-]*[\"'`]?\s*[:=]")
+_AUTHOR = re.compile(r"or(?!i[sz])", re.I)
+_SHORT_KNOWN = "sha256 sha384 sha512 base64 base32 oauth2 oauth1 hs256 rs256 es256 aes128 aes256 pbkdf2 argon2 scrypt bcrypt x509 latin1 iso-8859-1 password1 password123 passw0rd admin123 12345678 abc123 foobar required optional invalid missing expired hidden "
 _PRIMER = (IDENTIFIERS.upper() + IDENTIFIERS).encode()
 
 
@@ -66,21 +84,90 @@ def marginal_bytes(candidate: str, around: str) -> int:
     return total
 
 
+def short_bytes(candidate: str, around: str) -> int:
+    """The same for a short candidate: what it adds to a lead that has literals and a match of its own."""
+    import zstandard
+
+    known = (_SHORT_KNOWN.upper() + _SHORT_KNOWN).encode() + _PRIMER + around.encode("utf-8", "replace")
+    c = zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
+    # no match is looked for in the last 8 bytes of a frame, so the candidate is followed by others
+    return len(c.compress(_LEAD + candidate.encode("utf-8", "replace") + _REST)) - len(c.compress(_LEAD + _REST))
+
+
+_LEAD = b"".join(bytes(range(128 + 6 * k, 134 + 6 * k - k % 3)) + w for k, w in enumerate((b"AccessTokenProvider", b"environment variable", b"node_modules", b"credential", b"undefined null", b"validateToken", b"parameter")))
+_REST = bytes(range(180, 196))
+
+
+def _mixed(word: str) -> bool:
+    """Letters with digits, or with signs that names, paths and versions don't have."""
+    return any(c.isalpha() for c in word) and (any(c.isdigit() for c in word) or any(not c.isalnum() and c not in "-_./:,~<>()[]{}" for c in word))
+
+
+def _near(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, cue) of the candidates after each cue, as the module's docstring has them."""
+    for m in _CUE.finditer(text):
+        cue, at, past = m["cue"].lower(), m.end(), m.end()
+        author = cue == "auth" and _AUTHOR.match(m["tail"])
+        for st in _START.finditer(text, at, min(len(text), at + NEAR)):
+            s = st.start()
+            if s < past:
+                continue
+            q = _QUOTED.match(text, s)
+            gap = text[at:s]
+            v = q or (re.search(r"[=:>]\s*$", gap) and _SIGNED.match(text, s)) or _BARE.match(text, s)
+            if not v:
+                continue
+            if _OTHER_KEY.search(gap):
+                break
+            plain = not re.search(r"\w", re.sub(r"(?i)\bis\b|\b[bruf]$", "", gap))
+            if not plain and "\n" in gap:
+                break
+            s, e = v.span("v") if q else (s, v.end())
+            word = text[s:e] if q else text[s:e].rstrip(".=~-")
+            e = s + len(word)
+            if len(word) >= MIN_LENGTH:
+                ok = q or plain or (any(c.isdigit() for c in word) and any(c.isalpha() for c in word))
+            elif len(word) < MIN_SHORT or author:
+                ok = False
+            elif q:
+                ok = _mixed(word) or (plain and cue in ("passw", "pwd", "secret") and any(c.isalpha() for c in word))
+            else:
+                ok = (plain or re.search(r"(?:[=:>(]|\b(?:is|bearer))\s*$", gap, re.I)) and any(c.isdigit() for c in word) and any(c.isalpha() for c in word) and text[e : e + 1] not in ("(", "[")
+            if ok:
+                past = v.end()
+                yield s, e, cue
+
+
+def _measured(text: str, s: int, e: int) -> int | None:
+    """Marginal bytes of the candidate, None where it is known."""
+    word = text[s:e]
+    # wide enough that a copy of the candidate on the rim is seen whole, and blanked
+    n, blank = SURROUND + len(word), " " * len(word)
+    left, right = text[max(0, s - n) : s], text[e : e + n]
+    if len(word) >= MIN_LENGTH or _mixed(word):
+        left, right = left.replace(word, blank), right.replace(word, blank)
+    around = left[-SURROUND:] + right[:SURROUND]
+    added = marginal_bytes(word, around) if len(word) >= MIN_LENGTH else short_bytes(word, around)
+    return added if added >= MIN_NOVELTY * len(word) else None
+
+
 def scan(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, cue, marginal bytes) of every finding, in characters."""
-    out = []
+    wide, more = dict.fromkeys(_near(text)), {}
     for m in CANDIDATE.finditer(text):
         s, e = m.span("a") if m.group("a") else m.span("b")
         word = text[s:e].rstrip(".=~-") if not m.group("b") else text[s:e].rstrip(".")
-        if len(word) < MIN_LENGTH:
-            continue
-        e = s + len(word)
-        # wide enough that a copy of the candidate on the rim is seen whole, and blanked
-        n, blank = SURROUND + len(word), " " * len(word)
-        around = text[max(0, s - n) : s].replace(word, blank)[-SURROUND:] + text[e : e + n].replace(word, blank)[:SURROUND]
-        added = marginal_bytes(word, around)
-        if added >= MIN_NOVELTY * len(word):
-            out.append((s, e, (m.group("cue") or "prefix").lower(), added))
+        if len(word) >= MIN_LENGTH:
+            more[s, s + len(word), (m.group("cue") or "prefix").lower()] = None
+    out: list[tuple[int, int, str, int]] = []
+    for spans in (wide, more):  # a run that holds a name and its value comes after the value
+        kept = sorted(out)
+        for s, e, cue in sorted(spans, key=lambda x: (x[0], -x[1])):
+            k = bisect.bisect_left(kept, (e,))
+            if (k and kept[k - 1][1] > s) or (added := _measured(text, s, e)) is None:
+                continue
+            kept.insert(k, (s, e, cue, added))
+        out = kept
     return out
 
 

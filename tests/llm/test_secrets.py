@@ -53,3 +53,22 @@ def test_cases(spark):
     assert red == {(1, f'token = "{secrets.MASK}" and secret: {secrets.MASK}', 39), (2, None, None), (3, "", 0), (None, f'token = "{secrets.MASK}"', 18), (4, masked, len(masked)), (5, "clean text", 10)}
     assert out.count() == len(rows) and out.where("doc_id = 5").count() == 2
     assert secrets.findings(df.limit(0)).collect() == [] and secrets.redacted(df.limit(0)).collect() == []
+
+
+def test_every_form_near_a_cue_is_measured():
+    rnd = random.Random(4)
+    signs = ('token := "KEY"', 'const token: string = "KEY"', 'token: str = "KEY"', 'password == "KEY"', 'setToken("KEY")', 'os.environ["TOKEN"] = "KEY"', "<token>KEY</token>", '"token", "KEY"', 'token =          "KEY"', "api key: KEY", "secret key = KEY", "private key: KEY", 'password = "KEY"', 'token =\n    "KEY"', '"name": "token", "value": "KEY"', "token:string=KEY")
+    for form in signs:
+        for k in (key(rnd), "x9Kq2vLm8RtZ", "q7#Vt!9zLm@2Xw$8Rb", "hunter2"):
+            t = form.replace("KEY", k)
+            assert [t[f[0] : f[1]] for f in secrets.scan(t)] == [k], t
+    for form in ("token             KEY", "Authorization: Bearer KEY", "the api key for production is KEY."):
+        for k in (key(rnd), "x9Kq2vLm8RtZ"):
+            t = form.replace("KEY", k)
+            assert [t[f[0] : f[1]] for f in secrets.scan(t)] == [k], t
+    assert len(secrets.scan('password = "correcthorse"')) == 1
+
+
+def test_known_short_values_and_other_keys_are_left_alone():
+    for t in ('author = "jsmith42"', 'password: "required"', 'password = "changeme"', 'token_hash = "sha256"', 'password = os.environ["APP_PASSWORD"]', "def validate_token(self, request, session_state):", 'password=None, email="jo42@x.io"', '<input type="password" name="user">', '"token": "string", "user": "jo12345"', "token = getNextToken1(stream)", 'secret = "placeholder"'):
+        assert secrets.scan(t) == [], t
