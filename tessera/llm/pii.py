@@ -34,6 +34,10 @@ _PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)|\d{2,4})(?:[ .-]?\d{2,4
 _SSN = re.compile(r"(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?!\d)", re.A)
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.A)
 _ACCOUNT = re.compile(r"[^A-Za-z0-9\n]{0,3}(?:(?:no|nr|number|id|is)\b)?[\s:#=.]{0,4}(?P<v>(?=[A-Z0-9-]*\d{3})[A-Z0-9][A-Z0-9-]{5,33})(?![A-Za-z0-9])", re.I | re.A)
+_IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 "
+    "KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
 _auto: list = []
 
 
@@ -105,13 +109,37 @@ def iban(value: str) -> bool:
     return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
+def _ends(t: str, m: re.Match) -> list[int]:
+    """Where a matched number may end: at its own end or before one of its separators, the longest first."""
+    return [m.end()] + [e for e in range(m.end() - 1, m.start(), -1) if t[e] in " -"]
+
+
+def _iban_end(t: str, m: re.Match) -> int | None:
+    """The end of the IBAN that the match begins with; groups after it (a currency, a number) don't belong to it."""
+    want = _IBAN_LENGTHS.get(m.group()[:2])
+    size = {e: len(t[m.start() : e].replace(" ", "")) for e in _ends(t, m)}
+    for e in sorted(size, key=lambda e: (size[e] != want, -e)):
+        if (size[e] == want or want is None or e == m.end()) and iban(t[m.start() : e]):
+            return e
+    return None
+
+
+def _card_end(t: str, m: re.Match) -> int | None:
+    """The end of the card number that the match begins with, without a date or check number after it."""
+    for e in _ends(t, m):
+        d = re.sub(r"\D", "", t[m.start() : e])
+        if len(d) >= 13 and luhn(d) and len(set(d)) > 1:
+            return e
+    return None
+
+
 def number(t: str, at: int) -> tuple[str, int, int] | None:
     """What begins at the first digit of a run, if it is something personal."""
     before = t[at - 1] if at else " "
     if at >= 2 and before.isupper() and t[at - 2].isupper() and (at < 3 or not t[at - 3].isalnum()):
         m = _IBAN.match(t, at - 2)
-        if m and iban(m.group()):
-            return "iban", at - 2, m.end()
+        if m and (e := _iban_end(t, m)):
+            return "iban", at - 2, e
     if before.isalnum() or before in "_":
         return None
     if m := _IPV4.match(t, at):
@@ -119,9 +147,8 @@ def number(t: str, at: int) -> tuple[str, int, int] | None:
     if m := _SSN.match(t, at):
         return "ssn", at, m.end()
     if m := _CARD.match(t, at):
-        d = re.sub(r"\D", "", m.group())
-        if luhn(d) and len(set(d)) > 1:
-            return "card", at, m.end()
+        if e := _card_end(t, m):
+            return "card", at, e
     s = at
     if before == "(":
         s = at - 1

@@ -35,3 +35,13 @@ def test_cases(spark):
     df = spark.createDataFrame(rows, "kind string, text string, doc_id long, start int")
     assert sorted((str(r.doc_id), r.kind, r.end - r.start) for r in pii.findings(df).collect()) == [("3", "email", 7), ("4", "email", 7), ("4", "email", 7), ("None", "email", 7)]
     assert pii.findings(df.limit(0)).collect() == []
+
+
+def test_numbers_end_before_what_follows_them():
+    for after in (" 12/25", " 123", " 12/25 123", "-123", " 1234 56"):
+        assert kinds(f"card 4111 1111 1111 1111{after}.") == [("card", "4111 1111 1111 1111")], after
+    assert kinds("4111111111111111 123") == [("card", "4111111111111111")] and kinds("4539148803436468 123") == []
+    for after in (" EUR", " 12 de", " EUR 50", " EURO", " 1234 5678"):
+        assert kinds(f"to ES9121000418450200051332{after}") == [("iban", "ES9121000418450200051332")], after
+        assert kinds(f"to ES91 2100 0418 4502 0005 1332{after}") == [("iban", "ES91 2100 0418 4502 0005 1332")], after
+    assert kinds("to ES9121000418450200051333 EUR") == []
