@@ -128,6 +128,12 @@ def p11_byte_slice(spark, d):
     return docs.select("doc_id", text.byte_slice(F.encode("text", "utf-8"), F.lit(3), F.lit(20)).cast("string").alias("part"))
 
 
+@query("SELECT doc_id, substring(hex(encode(text)), 7, 40) AS part FROM documents")
+def p11_byte_slice_whole(spark, d):
+    """All documents; the bytes in hexadecimal, as a slice may begin or end inside a character."""
+    return _t(spark, d, "documents").select("doc_id", F.hex(text.byte_slice(F.encode("text", "utf-8"), F.lit(3), F.lit(20))).alias("part"))
+
+
 @query()
 def p8_lossy_decode(spark, d):
     return _files(spark, d).select("path", text.decoded(F.concat(F.lit(bytearray(b"h\xffw")), "content")).alias("text"))
