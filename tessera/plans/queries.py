@@ -208,6 +208,20 @@ def j3_files_with_symbols(spark, d):
     return lookup.files_with_symbols(_code(spark, d).select("path"), some).select("path", F.coalesce(F.size("symbols"), F.lit(0)).cast("long").alias("n"))
 
 
+@query(f"""WITH {_CODE_SQL} SELECT path || '::' || name AS id, CASE WHEN kind = 'Class' THEN 'class C' || k || ':' || chr(10) || '    ' ELSE '' END || CASE WHEN name = 'after' THEN 'def after():' || chr(10) || '    pass' ELSE 'def m' || m || '(self):' || chr(10) || '        return 1' END AS content
+FROM code JOIN syms USING (path)""")
+def e2_j1_symbol_contents_whole(spark, d):
+    """All symbols: the class, its method and the function of every file."""
+    return lookup.symbol_contents(_symbols(spark, d), _code(spark, d)).select("id", F.col("content").cast("string").alias("content"))
+
+
+@query(f"WITH {_CODE_SQL} SELECT f.path, CAST(count(s.name) AS BIGINT) AS n FROM (SELECT path FROM code UNION ALL SELECT {_PATH} FROM documents) f LEFT JOIN syms s ON f.path = s.path GROUP BY f.path")
+def j3_files_with_symbols_whole(spark, d):
+    """The whole symbol table against the code and the documents, which are parsed too but have no symbols."""
+    files = _code(spark, d).select("path", "content").unionByName(_files(spark, d).select("path", "content"))
+    return lookup.files_with_symbols(files.select("path"), exploded(with_symbols(files))).select("path", F.coalesce(F.size("symbols"), F.lit(0)).cast("long").alias("n"))
+
+
 @query("SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)")
 def j4_containing(spark, d):
     docs, items = _t(spark, d, "documents"), _t(spark, d, "benchmark").withColumnRenamed("text", "passage")
