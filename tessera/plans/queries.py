@@ -300,6 +300,26 @@ def w1_budget_latch(spark, d):
     return latch.degraded(_sized(spark, d), 50_000)
 
 
+@query()
+def a2_tokens_ranks(spark, d):
+    return _t(spark, d, "documents").select("doc_id", tokens.local()(F.col("text")).alias("tokens"))
+
+
+def _sized_ranks(spark, d):
+    n = tokens.local()(F.col("text"))
+    return _files(spark, d).select("path", n.alias("content_tokens")).withColumn("rendered_tokens", F.col("content_tokens") + 7)
+
+
+@query()
+def a3_running_tokens_ranks(spark, d):
+    return latch.running_sum(_sized_ranks(spark, d).select("path", "rendered_tokens"), "path", "rendered_tokens").select("path", "before")
+
+
+@query()
+def w1_budget_latch_ranks(spark, d):
+    return latch.degraded(_sized_ranks(spark, d), 50_000)
+
+
 _PACKED = "SELECT lang, sha256(string_agg(block, '' ORDER BY path)) AS hash FROM (SELECT lang, {p} AS path, {b} AS block FROM documents) GROUP BY lang"
 
 
@@ -324,7 +344,7 @@ def r8_skeleton_map(spark, d):
 
 @query()
 def e5_pack(spark, d):
-    return pack.Packer("xml", max_tokens=50_000, remove_comments=True, truncate_base64=True, remove_empty_lines=True).rows(_files(spark, d).select("path", "content"))
+    return pack.Packer("xml", max_tokens=50_000, remove_comments=True, truncate_base64=True, remove_empty_lines=True, counter=tokens.local()).rows(_files(spark, d).select("path", "content"))
 
 
 class _Size(pack.ContextPlugin):
