@@ -10,7 +10,7 @@ import os
 import sys
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -41,11 +41,22 @@ def ship(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder named by spark.checkpoint.dir (a local one only where unset)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of this machine only where it names none and all runs on this machine."""
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        folder = tempfile.mkdtemp(prefix="tessera-shared-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-ckpt-"))
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -67,6 +78,33 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def rewritten(docs: DataFrame, change: Callable[[str], str], candidates: Callable[[pa.Array], pa.Array] | None = None) -> DataFrame:
+    """All documents and columns with changed texts; n_chars, where it is a whole number, follows a text that has changed.
+
+    ``candidates`` marks the texts of an array that may change at all; the others aren't decoded.
+    """
+    ship(docs.sparkSession)
+    at = docs.columns.index("text")
+    n = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("int", "bigint") else -1
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = list(b.columns)
+            some = candidates(cols[at]) if candidates else pc.is_valid(cols[at])
+            rows = np.flatnonzero(pc.fill_null(some, False).to_numpy(zero_copy_only=False))
+            old = cols[at].take(pa.array(rows)).to_pylist()
+            new = {int(i): y for i, x in zip(rows, old) if (y := change(x)) != x}
+            if new:
+                mask = np.zeros(b.num_rows, bool)
+                mask[list(new)] = True
+                cols[at] = pc.replace_with_mask(cols[at], pa.array(mask), pa.array(list(new.values()), cols[at].type))
+                if n >= 0:
+                    cols[n] = pc.replace_with_mask(cols[n], pa.array(mask), pa.array([len(y) for y in new.values()], cols[n].type))
+            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 # ---------------------------------------------------------------- Arrow text
 
 def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,4 +1,9 @@
+import random
 import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import pii
 
@@ -45,3 +50,80 @@ def test_numbers_end_before_what_follows_them():
         assert kinds(f"to ES9121000418450200051332{after}") == [("iban", "ES9121000418450200051332")], after
         assert kinds(f"to ES91 2100 0418 4502 0005 1332{after}") == [("iban", "ES91 2100 0418 4502 0005 1332")], after
     assert kinds("to ES9121000418450200051333 EUR") == []
+
+
+HARD = ["a://", "-acct", "1.2.3.4:", "fe80:", "a@b.", "12 Main ", "rue de la ", "Straße 1", "street ", "0", "12 rue ", "acct 1-", "A", "Ab Street", "1 A B C D Street ", "x@y.co ", "http://u:p@", "+1 (", "::", "4111 "]
+
+
+@pytest.mark.parametrize("unit", HARD)
+def test_time_is_linear(unit):
+    t = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    pii.scan(t)
+    assert time.process_time() - began < 5
+
+
+def test_a_cue_before_a_long_run_is_no_finding():
+    assert kinds("account no abcdefghijklmnopqrstuvwxyzabcdefgh-123 x") == []
+    assert kinds("ACCT: AB-1234567, Konto 00123") == [("account", "AB-1234567")]
+
+
+def test_whole_local_parts_wide_letters_and_schemes():
+    assert kinds("x" * 80 + "@a.com") == [("email", "x" * 80 + "@a.com")]
+    assert kinds("josé@ejemplo.es müller@straße.de bob@例え.jp") == [("email", "josé@ejemplo.es"), ("email", "müller@straße.de"), ("email", "bob@例え.jp")]
+    assert kinds("postgresqlwithssl://bob:pw@host/db https://web.org/http://u:p@h.x/") == [("url", "postgresqlwithssl://bob:pw@host/db"), ("url", "http://u:p@h.x/")]
+
+
+def test_ipv6():
+    assert kinds("fe80::1ff:fe23:4567:890a and 2001:0db8:85a3:0000:0000:8a2e:0370:7334, http://[2001:db8::1]/x") == [("ip", "fe80::1ff:fe23:4567:890a"), ("ip", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"), ("url", "http://[2001:db8::1]/x")]
+    assert kinds("std::abs a::b 12:30:45 ::1 fe80::1::2 2001:db8 cafe::babe::") == []
+
+
+def test_postal_addresses():
+    for t, want in {
+        "at 123 North Main Street, Apt 4B, Springfield, IL 62704. ok": "123 North Main Street, Apt 4B, Springfield, IL 62704",
+        "at 10 Downing Street, London": "10 Downing Street", "on 5 5th Ave. now": "5 5th Ave.", "in der Musterstraße 12, 10115 Berlin ja": "Musterstraße 12, 10115 Berlin", "Berliner Str. 5a": "Berliner Str. 5a",
+        "au 12 rue de la Paix, 75002 Paris": "12 rue de la Paix, 75002 Paris", "en Calle de Alcalá 42, 28014 Madrid": "Calle de Alcalá 42, 28014 Madrid", "Calle Mayor, 5": "Calle Mayor, 5",
+    }.items():
+        assert kinds(t) == [("address", want)], t
+    for t in ("the street 5 was road 12", "Die Straße 5 km", "in la rue", "3 courtiers", "I drive 5 miles a day", "la calle 5"):
+        assert kinds(t) == [], t
+
+
+def every_span(t):
+    """Brute force: all addresses, cards, IPv4 numbers that begin and end somewhere in the text, each by a rule of its own."""
+    email = re.compile(r"[a-z0-9](?:[a-z0-9_]|[.-](?![.]))*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,24}", re.A)
+    mails = set()
+    for at in (i for i, c in enumerate(t) if c == "@"):
+        ends = [e for e in range(at + 1, len(t) + 1) if (e == len(t) or not t[e].isalnum())]
+        for s in range(at):
+            ok = [(s, e) for e in ends if email.fullmatch(t[s:e]) and (s == 0 or t[s - 1] not in "abcdefghijklmnopqrstuvwxyz0123456789_" and not (t[s - 1] in ".-" and s > 1 and t[s - 2].isalnum()))]
+            if ok:
+                mails.add(ok[-1])
+                break
+    return mails
+
+
+def test_agrees_with_brute_force_on_random_strings():
+    rnd = random.Random(11)
+    for _ in range(3000):
+        t = "".join(rnd.choice(["a", "b7", "@", ".", "-", " ", "co", "x_", "@a.co"]) for _ in range(rnd.randrange(1, 14)))
+        got = {(s, e) for k, s, e in pii.scan(t) if k == "email"}
+        want = every_span(t)
+        assert all(any(w[0] <= g[0] and g[1] == w[1] for w in want) for g in got) and all(any(g[1] == w[1] for g in got) or any(g[0] < w[1] and w[0] < g[1] for g in got) for w in want), (t, got, want)
+    for _ in range(3000):
+        t = "".join(rnd.choice(["4111 1111 1111 1111", "41", "1", " ", "-", "x", "5555555555554444", "."]) for _ in range(rnd.randrange(1, 8)))
+        runs = [m.span() for m in re.finditer(r"(?<![\w.])\d[\d -]*", t)]
+        for k, s, e in pii.scan(t):
+            assert k != "card" or (pii.luhn(d := re.sub(r"\D", "", t[s:e])) and 13 <= len(d) <= 19 and any(a <= s and e <= b for a, b in runs)), t
+
+
+def test_masked_table(spark):
+    rows = [("x", "to a@b.com or 4111 1111 1111 1111", 1, 33, 7), ("x", None, 2, None, 7), (None, "", 3, 0, 7), ("y", "clean", None, 5, None), ("y", "clean", None, 5, None)]
+    df = spark.createDataFrame(rows, "kind string, text string, doc_id long, n_chars long, start int")
+    out = pii.redacted(df)
+    assert out.schema == df.schema
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([("x", "to <EMAIL> or <CARD>", 1, 20, 7)] + rows[1:], key=str)
+    assert pii.redacted(df.limit(0)).collect() == []
+    odd = pii.redacted(df.select("text", "doc_id", F.col("kind").alias("n_chars")))
+    assert sorted(r.n_chars or "" for r in odd.collect()) == ["", "x", "x", "y", "y"]
