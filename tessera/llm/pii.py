@@ -72,6 +72,7 @@ _IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
 ).split()}
 #: Characters that a street parser looks at on either side.
 _REACH = 160
+_DOUBLED = {str(d): d * 2 - 9 * (d > 4) for d in range(10)}
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 _auto: list = []
 
@@ -172,13 +173,7 @@ def ipv6(t: str, at: int) -> tuple[int, int] | None:
 
 
 def luhn(digits: str) -> bool:
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        d = int(c)
-        if i % 2:
-            d = d * 2 - 9 * (d > 4)
-        total += d
-    return total % 10 == 0
+    return (sum(map(int, digits[::-2])) + sum(map(_DOUBLED.__getitem__, digits[-2::-2]))) % 10 == 0
 
 
 def iban(value: str) -> bool:
@@ -289,8 +284,6 @@ def scan(t: str) -> list[tuple[str, int, int]]:
         nonlocal digits_to
         at = last - size + 1
         if kind == "digit":
-            if at <= digits_to:
-                return None
             digits_to = at  # the run's later digits begin nothing
             while digits_to + 1 < len(t) and t[digits_to + 1] in "0123456789":
                 digits_to += 1
@@ -317,7 +310,7 @@ def scan(t: str) -> list[tuple[str, int, int]]:
 
     for last, kinds in _automaton().iter(low):
         for kind, size in kinds:
-            if last - size + 1 < end:
+            if last - size + 1 < end or (kind == "digit" and last <= digits_to):
                 continue
             if got := found(kind, size, last):
                 while out and out[-1][2] > got[1]:  # a number inside an address that is found later

@@ -90,30 +90,39 @@ def test_postal_addresses():
         assert kinds(t) == [], t
 
 
-def every_span(t):
-    """Brute force: all addresses, cards, IPv4 numbers that begin and end somewhere in the text, each by a rule of its own."""
-    email = re.compile(r"[a-z0-9](?:[a-z0-9_]|[.-](?![.]))*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,24}", re.A)
-    mails = set()
+def is_local(v):
+    return bool(v) and ".." not in v and v[0] not in "._-"[::2] and v[-1] != "." and any(c.isalnum() for c in v)
+
+
+def is_domain(v):
+    labels = v.split(".")
+    ok = [1 <= len(x) <= 63 and x[0] != "-" and x[-1] != "-" and "_" not in x and "@" not in x and " " not in x for x in labels]
+    return len(labels) > 1 and all(ok) and labels[-1].isalpha() and 2 <= len(labels[-1]) <= 24
+
+
+def every_address(t):
+    """Brute force: of all spans around an at-sign that are an address, the longest domain and then the longest local part."""
+    out = []
     for at in (i for i, c in enumerate(t) if c == "@"):
-        ends = [e for e in range(at + 1, len(t) + 1) if (e == len(t) or not t[e].isalnum())]
-        for s in range(at):
-            ok = [(s, e) for e in ends if email.fullmatch(t[s:e]) and (s == 0 or t[s - 1] not in "abcdefghijklmnopqrstuvwxyz0123456789_" and not (t[s - 1] in ".-" and s > 1 and t[s - 2].isalnum()))]
-            if ok:
-                mails.add(ok[-1])
-                break
-    return mails
+        if out and at < out[-1][1]:
+            continue
+        ends = [e for e in range(at + 2, len(t) + 1) if is_domain(t[at + 1 : e]) and not t[e : e + 1].isalnum()]
+        starts = [s for s in range(at) if is_local(t[s:at]) and "@" not in t[s:at] and " " not in t[s:at]]
+        if ends and starts:
+            while out and out[-1][1] > starts[0]:
+                out.pop()
+            out.append((starts[0], ends[-1]))
+    return out
 
 
 def test_agrees_with_brute_force_on_random_strings():
     rnd = random.Random(11)
-    for _ in range(3000):
-        t = "".join(rnd.choice(["a", "b7", "@", ".", "-", " ", "co", "x_", "@a.co"]) for _ in range(rnd.randrange(1, 14)))
-        got = {(s, e) for k, s, e in pii.scan(t) if k == "email"}
-        want = every_span(t)
-        assert all(any(w[0] <= g[0] and g[1] == w[1] for w in want) for g in got) and all(any(g[1] == w[1] for g in got) or any(g[0] < w[1] and w[0] < g[1] for g in got) for w in want), (t, got, want)
+    for _ in range(5000):
+        t = "".join(rnd.choice(["a", "b7", "@", ".", "-", " ", "co", "x_", "@a.co", ".."]) for _ in range(rnd.randrange(1, 14)))
+        assert [(s, e) for k, s, e in pii.scan(t) if k == "email"] == every_address(t), t
     for _ in range(3000):
         t = "".join(rnd.choice(["4111 1111 1111 1111", "41", "1", " ", "-", "x", "5555555555554444", "."]) for _ in range(rnd.randrange(1, 8)))
-        runs = [m.span() for m in re.finditer(r"(?<![\w.])\d[\d -]*", t)]
+        runs = [m.span() for m in re.finditer(r"(?<!\w)\d[\d -]*", t)]
         for k, s, e in pii.scan(t):
             assert k != "card" or (pii.luhn(d := re.sub(r"\D", "", t[s:e])) and 13 <= len(d) <= 19 and any(a <= s and e <= b for a, b in runs)), t
 
