@@ -60,7 +60,7 @@ def test_time_is_linear(unit):
     t = unit * (1_000_000 // len(unit))
     began = time.process_time()
     pii.scan(t)
-    assert time.process_time() - began < 5
+    assert time.process_time() - began < 12  # some 4 s for the slowest unit on an idle machine; quadratic time would be hours
 
 
 def test_a_cue_before_a_long_run_is_no_finding():
