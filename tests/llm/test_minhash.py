@@ -89,3 +89,33 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r.id: r.root for r in C.components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 201)}, 501: 500}
+
+
+def test_a_text_is_dropped_only_as_a_copy(spark):
+    t, u, v = (" ".join(f"{k}{i}" for i in range(90)) for k in "tuv")
+    rows = [(1, t, "b"), (1, t, "a"), (1, u, "c"), (2, u + " end", "d"), (3, v, "e"), (3, t + " end", "f"), (None, t, "g"), (None, t, "g"), (4, v, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark_id string").repartition(3)
+    got = sorted(minhash.drop_near_duplicates(df).collect(), key=str)
+    assert sorted((r.doc_id or 0, r.mark_id) for r in got) == [(0, "g"), (0, "g"), (1, "a"), (1, "c"), (3, "e")]
+    assert {tuple(r) for r in minhash.near_duplicates(df).collect()} == {(2, 1), (3, 1), (4, 3)}
+    monkey = minhash.BROADCAST_ROWS
+    try:
+        minhash.BROADCAST_ROWS = 0  # the same by a shuffle
+        assert sorted(minhash.drop_near_duplicates(df).collect(), key=str) == got
+    finally:
+        minhash.BROADCAST_ROWS = monkey
+
+
+def test_copies_of_a_passage_that_many_texts_quote(spark):
+    rnd = random.Random(9)
+    prose = lambda n: [f"v{rnd.randrange(100_000)}" for _ in range(n)]
+    passage = prose(150)
+    rows = [(i, " ".join(prose(200) + passage + prose(150))) for i in range(1500)]
+    near = []
+    for i in range(30):
+        w = list(passage)
+        for k in rnd.sample(range(150), 5):
+            w[k] = f"e{rnd.random()}"
+        near.append((10_000 + i, " ".join(w)))
+    got = {r.doc_id: r.keeper_id for r in minhash.near_duplicates(spark.createDataFrame(rows + near, "doc_id long, text string")).collect()}
+    assert all(got.get(10_000 + i) == 10_000 for i in range(1, 30)) and not any(i < 10_000 for i in got)
