@@ -1,19 +1,28 @@
 """Near-duplicate embeddings (operator 10).
 
-Spherical k-means over all vectors (about sqrt(n) cells) assigns each to the cell of its nearest
-centre.  Pairs are sought inside cells by blocked cosine products; a vector is also brought into the
-other cells whose centre is almost as near as its own, by the margin within which a partner at the
-threshold could have been assigned elsewhere, so that a border between cells doesn't part a pair.
-Cells of more than BLOCK vectors are cut into blocks and every pair of blocks is compared, so memory
-is bounded whatever a cell holds.  Each pair of blocks yields only the star edges of its groups;
-connected components of all edges give the groups and the least vec_id of each is kept.
-
-Defined cases: null ids, null or empty vectors, vectors of zero length or with a null, NaN or
-infinite entry have no direction: they are kept and group with nothing (a null id stays null);
-vectors of different dimensions never group, and centres are of the commonest dimension, others being
-compared in one cell for each dimension; rows that repeat an id are one vector if equal and are both
-compared if not; ties go to the least id; an empty table gives an empty result; other columns are
-ignored.
+Spherical k-means over all vectors (about sqrt(n) cells) assigns each to the cell of its nearest centre,
+its home.  Pairs are sought inside cells by blocked cosine products.  So that a border between cells
+doesn't part a pair, a vector also visits other cells, where it is compared with those at home.
+
+Which cells it visits.  Let x and y be at home in the cells of centres c and d.  Then
+(x.c - x.d) + (y.d - y.c) = (x - y).(c - d), and neither bracket is negative, so one of the two vectors
+is nearer than half of that to the other's centre.  It is enough that this one visits.  The right side is
+at most |x - y| |c - d|, and |x - y|^2 = 2 - 2 threshold at the threshold: a vector visits the cell of d
+where x.c - x.d <= SIGMAS / sqrt(dimension) * |x - y| |c - d| / 2.  With SIGMAS = sqrt(dimension) (the
+argument ``exact``) no pair is lost whatever the data.  The default of 3 is three deviations of the
+projection of a difference without a preferred direction: one border in 700 loses a pair that lies at the
+very threshold, and a closer pair less often; the tests hold recall against brute force.
+
+Equal vectors are joined beforehand, so copies enter the cells once.  Cells of more than BLOCK vectors are
+cut into blocks and every pair of blocks is compared, so memory is bounded whatever a cell holds.  Each pair
+of blocks yields only the star edges of its groups; connected components of all edges give the groups and
+the least vec_id of each is kept.
+
+Defined cases: null ids, null or empty vectors, vectors of zero length or with a null, NaN or infinite entry
+have no direction: they are kept and group with nothing (a null id stays null); vectors of different
+dimensions never group, and each dimension has cells of its own (a single one up to BLOCK vectors); rows that
+repeat an id are one vector if equal and are both compared if not; vectors may have any number of entries;
+ties go to the least id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,26 +84,29 @@ def centres(x: DataFrame, k: int, dim: int, rounds: int = ROUNDS) -> np.ndarray:
     return c.astype(np.float32)
 
 
-def margin(threshold: float, dim: int) -> float:
-    """How much nearer a centre may be to a partner: SIGMAS deviations of the difference that two vectors at the threshold show."""
-    return SIGMAS * math.sqrt(2 * (2 - 2 * threshold) / dim)
+def reach(threshold: float, dim: int, sigmas: float = SIGMAS) -> float:
+    """How much nearer, for each unit of distance between centres, the own centre may be than one that is visited."""
+    return min(sigmas / math.sqrt(dim), 1.0) * math.sqrt(2 - 2 * threshold) / 2
 
 
-def _assign(c_shared, dim: int, slack: float):
+def _assign(c_shared, near: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = c_shared.value
+        square = (c * c).sum(1)
         for b in batches:
             if not b.num_rows:
                 continue
             u = _unit(b, "v")
-            for i in range(0, len(u), BLOCK):
-                part = u[i : i + BLOCK]
+            step = max(1, (1 << 22) // len(c))
+            for i in range(0, len(u), step):
+                part = u[i : i + step]
                 sims = part @ c.T
                 best = sims.argmax(1)
-                row, cell = np.nonzero(sims >= (sims.max(1) - slack)[:, None])
+                apart = np.sqrt(np.maximum(square[best][:, None] + square[None] - 2 * (c[best] @ c.T), 0))
+                row, cell = np.nonzero(sims >= sims.max(1)[:, None] - near * apart - 1e-6)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("vec_id")[i : i + BLOCK].cast(pa.int64()).take(take), pa.array(cell), pa.array(best[row] == cell), pa.array([v.tobytes() for v in part], pa.binary()).take(take)], names=["vec_id", "cell", "home", "v"]
+                    [b.column("vec_id")[i : i + step].cast(pa.int64()).take(take), pa.array(cell), pa.array(best[row] == cell), pa.array([v.tobytes() for v in part], pa.binary()).take(take)], names=["vec_id", "cell", "home", "v"]
                 )
 
     return run
@@ -141,30 +153,37 @@ def _block_pairs(placed: DataFrame) -> DataFrame:
     return left.unionByName(right).select("cell", "dim", "i", "j", "vec_id", "v", "left", (~F.col("left")).alias("right"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
     """(vec_id, keeper_id, keep) of every row; keep marks the representative of each group."""
     spark = vectors.sparkSession
     C.ship(spark)
     x = C.checkpointed(_usable(vectors))
-    dims = {r["dim"]: r["count"] for r in x.groupBy("dim").count().collect()}  # a handful of dimensions
-    placed = None
-    for dim in sorted(dims):
-        n = dims[dim]
-        own = x.where(F.col("dim") == dim).select("vec_id", "v")
-        if n == max(dims.values()) and dim == min(d for d in dims if dims[d] == n):
-            c = centres(own, max(1, math.ceil(math.sqrt(n))), dim)
-        else:
-            c = np.ones((1, dim), np.float32)
-        part = own.mapInArrow(_assign(spark.sparkContext.broadcast(c), dim, margin(threshold, dim)), "vec_id long, cell long, home boolean, v binary").withColumn("dim", F.lit(dim))
-        placed = part if placed is None else placed.unionByName(part)
     everything = C.require(vectors, "vec_id")
-    if placed is None:
-        return everything.select("vec_id", F.col("vec_id").alias("keeper_id"), F.lit(True).alias("keep"))
+    # equal vectors are one, under their least id
+    one = C.checkpointed(x.groupBy("v", "dim").agg(F.min("vec_id").alias("vec_id")))
+    equal = x.join(one.withColumnRenamed("vec_id", "b"), ["v", "dim"]).where("vec_id <> b").select(F.col("vec_id").alias("a"), "b")
+    dims = {r["dim"]: r["count"] for r in one.groupBy("dim").count().where(F.col("count") > BLOCK).collect()}  # only dimensions with many vectors
+    few = one.where(~F.col("dim").isin(*dims)) if dims else one
+    placed = few.mapInArrow(_single, "vec_id long, dim int, cell long, home boolean, v binary")
+    for dim, n in sorted(dims.items()):
+        own = one.where(F.col("dim") == dim).select("vec_id", "v")
+        c = centres(own, math.ceil(math.sqrt(n)), dim)
+        near = reach(threshold, dim, math.sqrt(dim) if exact else SIGMAS)
+        part = own.mapInArrow(_assign(spark.sparkContext.broadcast(c), near), "vec_id long, cell long, home boolean, v binary")
+        placed = placed.unionByName(part.withColumn("dim", F.lit(dim)))
     edges = _block_pairs(C.checkpointed(placed)).groupBy("cell", "dim", "i", "j").applyInArrow(_compare(threshold), "a long, b long")
-    groups = C.components(edges)
+    groups = C.components(edges.unionByName(equal))
     out = everything.join(groups, everything["vec_id"] == groups["id"], "left")
     return out.select("vec_id", F.coalesce("root", "vec_id").alias("keeper_id"), F.col("root").isNull().alias("keep"))
 
 
+def _single(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All vectors of a dimension in one cell."""
+    for b in batches:
+        rows = [(np.asarray(v, np.float32) / np.linalg.norm(np.asarray(v, np.float32).astype(np.float64))).astype(np.float32).tobytes() for v in b.column("v").to_pylist()]
+        n = b.num_rows
+        yield pa.RecordBatch.from_arrays([b.column("vec_id").cast(pa.int64()), b.column("dim"), pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, bool)), pa.array(rows, pa.binary())], names=["vec_id", "dim", "cell", "home", "v"])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(C.read(spark, sf_dir, "embeddings"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import vectors as V
 
@@ -51,3 +52,38 @@ def test_cases(spark):
     same = [(str(i), str(i), True) for i in (1, 3, 4, 5, 6, 7, 8, 10, 10, None)]
     assert got == sorted(same + [("2", "1", False), ("9", "8", False)])
     assert V.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_exact_loses_no_pair_and_copies_are_joined(spark, monkeypatch):
+    rnd = np.random.default_rng(8)
+    base = rnd.normal(size=(400, 16))
+    x = np.concatenate([base, base[rnd.integers(0, 400, 600)] + rnd.normal(size=(600, 16)) * rnd.choice([0.1, 0.25, 0.32], (600, 1)), np.repeat(base[:1], 300, 0)]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, [float(i), 1.0, 2.0]) for i in range(3)], "vec_id long, embedding array<float>").repartition(4)
+    monkeypatch.setattr(V, "BLOCK", 64)  # cells for this many vectors
+    got = {r.vec_id: r.keeper_id for r in V.near_duplicates(df, exact=True).collect()}
+    want = groups(x.astype(np.float64), list(range(len(x))), V.THRESHOLD)[1]
+    assert sum(got[i] != k for i, k in want.items()) <= 2  # a product within rounding of the threshold
+    assert all(got[i] == 0 for i in range(1000, 1300))
+
+
+def test_places_per_vector_hardly_grow():
+    rnd = np.random.default_rng(2)
+
+    class Shared:
+        def __init__(self, c):
+            self.value = c
+
+    def places(n):
+        x = rnd.normal(size=(n, 64)).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        c = x[: int(np.sqrt(n))].copy()
+        for _ in range(2):
+            home = np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, n, 4096)])
+            np.add.at(c, home, x)
+            c /= np.linalg.norm(c, axis=1, keepdims=True)
+        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4000)), pa.array(x[:4000].tolist(), pa.list_(pa.float32()))], names=["vec_id", "v"])
+        return sum(b.num_rows for b in V._assign(Shared(c), V.reach(V.THRESHOLD, 64))([batch])) / 4000
+
+    small, large = places(20_000), places(200_000)
+    print("places", small, large)
+    assert large < 1.5 * small and large < 12
