@@ -70,12 +70,27 @@ def test_spans_equal_brute_force(spark, seed):
     assert got == brute(rows, 50)
 
 
-def test_small_blocks_and_hash_path_agree(spark):
+@pytest.mark.parametrize("block,most", [(1, 10**9), (1, 1), (10**6, 200)])
+def test_small_blocks_and_split_anchors_agree(spark, block, most):
     rows = fixture_rows(3, 50)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {tuple(r)[:3] for r in suffix.repeated_passages(df, block=block, most=most).collect()} == brute(rows, 50)
+
+
+def test_one_anchor_over_the_bound(spark):
+    """A ten-word phrase in all documents: its snippets have more words than MOST and are split, not sampled."""
+    rnd = random.Random(4)
+    phrase = [f"p{i}" for i in range(10)]
+    rows, seen = [], []
+    for i in range(600):
+        left, right = ([f"v{rnd.randrange(10**6)}" for _ in range(60)] for _ in range(2))
+        if i % 3 == 0 and seen:
+            left, right = (left, rnd.choice(seen)[1]) if i % 2 else (rnd.choice(seen)[0], right)
+        seen.append((left, right))
+        rows.append((i, " ".join(left + phrase + right)))
+    rows += [(1000, "na " * 3000), (1001, "na " * 3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = brute(rows, 50)
-    for block, most in ((1, 10**9), (1, 1)):
-        assert {tuple(r)[:3] for r in suffix.repeated_passages(df, block=block, most=most).collect()} == want
+    assert {tuple(r)[:3] for r in suffix.repeated_passages(df, most=1500).collect()} == brute(rows, 50)
 
 
 def test_empty_table(spark):
