@@ -16,7 +16,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -208,18 +208,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star rewrites until the edges stop changing, in a number of
     rounds logarithmic in the number of vertices in practice.  Every round is cut by a checkpoint,
-    so a lost executor costs one round at most.
+    so a lost executor costs one round at most.  Minima are aggregates with partial sums and joined back,
+    so a vertex with a great many neighbours is no task of its own.
     """
     e = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     key = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     seen = key(e)
-    by_u = Window.partitionBy("u")
     for _ in range(max_rounds):
         if not seen[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least(F.min("v").over(by_u), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.withColumn("m", F.min("v").over(by_u))
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", F.col("u")).alias("v")).where("u <> v").distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         e = checkpointed(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct())
         now = key(e)
         if now == seen:

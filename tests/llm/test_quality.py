@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from tessera.llm import features
 from tessera.llm import quality_rules as Q
 from tessera.llm import weak_quality as W
 
@@ -19,35 +20,132 @@ def test_binomial_bound_is_exact():
     assert Q.upper_bound(5, 5, 0.1) == 1.0 and Q.upper_bound(0, 0, 0.1) == 1.0
 
 
+def test_incomplete_beta_equals_sums_and_is_quick():
+    for n in (1, 7, 60, 400):
+        for k in range(0, n, max(1, n // 7)):
+            for p in (0.001, 0.05, 0.5, 0.97):
+                assert abs(Q.tail(k, n, p) - tail(k, n, p)) < 1e-9
+    assert 0.05 < Q.tail(499_000, 10**7, 0.05) < 0.1 and Q.certified(499_000, 10**7, 0.05, 0.08) and not Q.certified(499_000, 10**7, 0.05, 0.05)
+    assert Q.certified(0, 59, 0.05, 0.05) and not Q.certified(0, 58, 0.05, 0.05)
+
+
 def test_sequence_stops_at_the_first_failure():
-    assert Q.certify(5000, [0, 1, 4900, 2], (4, 3, 2, 1), 0.01, 0.01) == 3
-    assert Q.certify(10, [0, 0], (2, 1), 0.01, 0.01) is None
+    none, some = (0,) * 5, (2, 0, 0, 0, 0)
+    worst = tuple(len(cs) for _, cs in Q.RULES.values())
+    assert Q.certify({none: [100, 0, 400, 0], some: [0, 20, 0, 30]}, 0.05, 0.05) == worst  # nothing good is lost
+    assert Q.certify({none: [100, 0, 400, 0], some: [50, 20, 200, 30]}, 0.05, 0.05) == (5, *worst[1:])  # the cutoffs that this level doesn't exceed
+    assert Q.certify({none: [9, 9, 40, 9]}, 0.05, 0.05) is None and Q.certify({}, 0.05, 0.05) is None
+    assert Q.level({1: {none: [0, 0, 300, 0]}, 2: {none: [0, 0, 40, 0]}}, 0.05, 0.05) == 0.05
 
 
 def test_risk_is_controlled_on_fresh_documents():
+    """Good documents whose figures are known in law: how often does a certified setting reject more than RISK of them?"""
     rnd = np.random.default_rng(4)
-    over = 0
-    for _ in range(300):
-        x = rnd.beta(1, 9, 3000)
-        cs = Q.RULES["symbols"][1]
-        c = Q.certify(len(x), [int((x > t).sum()) for t in cs], cs, 0.02, 0.05)
-        over += c is not None and (1 - c) ** 9 > 0.02
-    assert over <= 300 * 0.05 + 8
+    cs = Q.RULES["symbols"][1]
+    over, used = 0, 0
+    for _ in range(400):
+        counts = {}
+        for part in (0, 2):
+            x = rnd.beta(1, 30, 300 + 200 * part)
+            for lv, n in zip(*np.unique(sum((x > c).astype(int) for c in cs), return_counts=True)):
+                counts.setdefault((int(lv), 0, 0, 0, 0), [0, 0, 0, 0])[part] += int(n)
+        counts.setdefault((7, 0, 0, 0, 0), [0, 0, 0, 0])[1] += 100
+        got = Q.certify(counts, 0.05, 0.05)
+        used += bool(got and got[0])
+        over += bool(got and got[0]) and (1 - cs[got[0] - 1]) ** 30 > 0.05
+    assert used > 300 and over <= 400 * 0.05 + 8
+
+
+def figures_of(text):
+    """Each figure of the rules, character by character."""
+    raw = (text or "").encode()
+    word, words = b"", []
+    for c in raw + b" ":
+        if c > 32:
+            word += bytes([c])
+        elif word:
+            words.append(word)
+            word = b""
+    lines = [x for x in (text or "").split("\n") if x]
+    seen = max(1, sum(map(len, words)))
+    up, low, far = sum(65 <= c <= 90 for c in raw), sum(97 <= c <= 122 for c in raw), sum(c >= 128 for c in raw)
+    again = lambda v: (len(v) - len(set(v))) / max(1, len(v))
+    return {
+        "symbols": sum(c in b"#$%&*|!@^~<>{}[]\\=+_`" for c in raw) / seen, "upper": up / max(up + low + far / 2, 1), "digits": sum(48 <= c <= 57 for c in raw) / seen, "repeated_lines": again(lines), "repeated_words": again(words),
+        "words": float(len(words)), "word_length": sum(map(len, words)) / max(1, len(words)), "stopwords": sum(w.decode("utf-8", "replace") in features.STOPWORDS for w in words) / max(1, len(words)),
+    }
+
+
+def brute_rules(docs, labels, part):
+    """The kept documents, document by document, with sums for the bounds."""
+    worst = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            worst[i] = min(worst.get(i, 1), int(q == 1))
+    figures = [(i, s, figures_of(t)) for i, t, s in docs]
+    trials = {}
+    for i, s, f in figures:
+        if i in worst:
+            old = trials.get((i, s))
+            trials[i, s] = {k: max(v, old[k]) if old else v for k, v in f.items()}
+    fails = lambda f, cut: [r for r, (k, _) in Q.RULES.items() if cut[r] is not None and f[k] > cut[r]]
+    strata = {s for _, s in trials}
+    good = {s: [f for (i, t), f in trials.items() if t == s and worst[i] and part[i]] for s in strata}
+    m = max((k for k in range(1, len(strata) + 1) if sum(len(g) > 0 and 0.95 ** len(g) <= 0.05 / k for g in good.values()) >= k), default=1)
+    cuts = {}
+    for s in strata:
+        first = [(f, worst[i]) for (i, t), f in trials.items() if t == s and not part[i]]
+        at, best = dict.fromkeys(Q.RULES, 0), None
+        cut_of = lambda a: {r: cs[a[r] - 1] if a[r] else None for r, (_, cs) in Q.RULES.items()}
+        while any(at[r] < len(cs) for r, (_, cs) in Q.RULES.items()):
+            left = [(f, g) for f, g in first if not fails(f, cut_of(at))]
+            options = []
+            for k, (r, (_, cs)) in enumerate(Q.RULES.items()):
+                if at[r] < len(cs):
+                    new = at | {r: at[r] + 1}
+                    gone = [g for f, g in left if fails(f, cut_of(new))]
+                    options.append(((gone.count(0) + 0.5) / (gone.count(1) + 0.5), -k, new))
+            at = max(options, key=lambda o: o[:2])[2]
+            n, k = len(good[s]), sum(bool(fails(f, cut_of(at))) for f in good[s])
+            if n == 0 or k >= n or tail(k, n, 0.05) > 0.05 / m:
+                break
+            best = at
+        cuts[s] = cut_of(best or dict.fromkeys(Q.RULES, 0))
+    none = dict.fromkeys(Q.RULES)
+    return sorted(((i, s, fails(f, cuts.get(s, none))) for i, s, f in figures), key=str)
+
+
+def test_judgement_equals_brute_force(spark):
+    rnd = random.Random(3)
+    docs, labels = [], []
+    for i in range(900):
+        lang = rnd.choice(["en"] * 6 + ["de"] * 3 + [None])
+        w = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(1, 9))) for _ in range(rnd.randrange(1, 60))]
+        q = int(rnd.random() < 0.8)
+        if not q or rnd.random() < 0.02:
+            w = rnd.choice([["##$%"] * 9 + w[:20], [x.upper() for x in w], ["12345"] * len(w), [w[0]] * 40, ["same line\n"] * 12])
+        docs.append((i, " ".join(w), lang))
+        labels += [(i, q)] * (1 + i % 2)
+    docs += [(5, "a b c", "en"), (6, docs[6][1], docs[6][2]), (None, "## ##", "en"), (2000, None, "en"), (2001, "", None), (2002, "## word " * 20_000, "de")]
+    labels += [(None, 1), (7, 0), (8, None), (9999, 1), (2000, 1)]
+    part = {r.i: r.p for r in spark.createDataFrame([(i,) for i in {d[0] for d in docs} if i is not None], "i long").selectExpr("i", "pmod(xxhash64(i), 3) > 0 as p").collect()}
+    df = spark.createDataFrame([(t, "x", i, s, 0.0) for i, t, s in docs], "text string, stratum string, doc_id long, lang string, symbols double")
+    out = Q.judge(df, spark.createDataFrame([(q, i, "t") for i, q in labels], "quality int, doc_id long, text string")).collect()
+    want = brute_rules(docs, labels, part)
+    assert sorted(((r.doc_id, r.stratum, r.failed) for r in out), key=str) == want and all(r.keep == (not r.failed) for r in out)
+    assert sum(bool(f) for _, _, f in want) > 100
 
 
 def test_rules_on_the_table(spark):
+    """Every stratum of this table can be certified; at a tenth of it only English can."""
     d = "/root/testdata/sf0.1"
-    labels = spark.read.parquet(f"{d}/labels.parquet")
     out = {r.doc_id: r for r in Q.query(spark, d).collect()}
-    lab = {r.doc_id: r.quality for r in labels.collect()}
-    good, bad = [out[i].keep for i, q in lab.items() if q == 1], [out[i].keep for i, q in lab.items() if q == 0]
-    assert np.mean(good) >= 1 - Q.RISK and np.mean(bad) < 0.6
-    figures = spark.read.parquet(f"{d}/documents.parquet").mapInArrow(lambda b: Q._measure(p.select(["doc_id", "text", "lang"]) for p in b), "doc_id long, stratum string, " + ", ".join(f"{c} double" for c in Q._COLS)).collect()
-    by = {r.doc_id: r for r in figures}
-    for s, rule, c in Q.cutoffs(spark.createDataFrame(figures), labels):
-        f, grid = Q.RULES[rule]
-        x = [by[i][f] for i, q in lab.items() if q == 1 and by[i].stratum == s]
-        assert c == Q.certify(len(x), [sum(v > t for v in x) for t in grid], grid, Q.RISK / len(Q.RULES), Q.DELTA / (len(Q.RULES) * 4))
+    lab = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    for s in ("en", "de", "fr", "es"):
+        good, bad = ([out[i].keep for i, q in lab.items() if q == k and out[i].stratum == s] for k in (1, 0))
+        assert np.mean(good) >= 1 - Q.RISK and np.mean(bad) < 0.1, s
+    small = Q.query(spark, "/root/testdata/sf0.01").groupBy("stratum").agg({"keep": "min"}).collect()
+    assert {r[0]: r[1] for r in small} == {"en": False, "de": True, "fr": True, "es": True}
 
 
 ROWS = [(None, "x", None, "s"), ("", "x", 1, "s"), ("plain words in a row", None, 2, "s"), ("$$$ %%% ###", "x", None, "s"), ("w " * 100000, "x", 3, "s"), ("same text here", "x", 4, "s"), ("same text here", "x", 4, "s")]
@@ -61,7 +159,7 @@ def test_rule_cases(spark):
     assert Q.judge(df.limit(0), labels).collect() == [] and len(Q.judge(df, labels.limit(0)).collect()) == len(ROWS)
     many = spark.createDataFrame([("good words " + str(i), None, i, "s") for i in range(3000)] + [("$$$$ " * 9, None, 9000, "s")], df.schema)
     out = {r.doc_id: r for r in Q.judge(many, spark.createDataFrame([(i, 1) for i in range(3000)], "doc_id long, quality int")).collect()}
-    assert out[9000].failed == ["symbols", "repeated_words"] or out[9000].failed == ["symbols"]
+    assert out[9000].failed == ["symbols", "repeated_words"]
     assert all(out[i].keep for i in range(3000))
 
 
