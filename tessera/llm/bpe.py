@@ -8,8 +8,10 @@ back where none fits.  Compatibility of two neighbours is decided by undoing the
 boundary and is memoised; a place that has failed is marked and never tried again, so the time is
 linear.  The result is exactly what applying the merges in rank order gives.
 
-The vocabulary file stays where it is; its path is a parameter.  Encodings of pre-tokens are kept in
-a table of bounded size in each Python worker.
+The vocabulary file stays where it is; its path is a parameter.  The driver reads it, and its bytes (some
+megabytes, MAX_VOCABULARY at most) are broadcast, so executors need no copy of it.  A vocabulary must hold every
+single byte, else some texts couldn't be encoded; one that doesn't is refused.  Encodings of pre-tokens are kept
+in a table of bounded size in each Python worker.
 
 Defined cases: a null text gives null tokens, an empty one an empty list; null or repeated ids are
 rows like others, one result for each row in any order; a pre-token may have any length; an empty
@@ -19,6 +21,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections.abc import Iterable, Iterator
 
@@ -31,7 +34,7 @@ from tessera.llm import common as C
 
 VOCABULARY = os.environ.get("TESSERA_BPE", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_WORDS = 400_000
+KEPT_WORDS, MAX_VOCABULARY = 400_000, 64 << 20
 _NONE = 1 << 60
 
 
@@ -41,6 +44,8 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int]):
         import ahocorasick
 
+        if missing := [b for b in range(256) if bytes([b]) not in ranks]:
+            raise ValueError(f"the vocabulary lacks {len(missing)} single bytes, the first is {missing[0]:#04x}")
         self.ranks, self.size = ranks, max(ranks.values()) + 1
         self.bytes: list[bytes] = [b""] * self.size
         self.auto = ahocorasick.Automaton()
@@ -156,16 +161,31 @@ class _Words(dict):
         return packed
 
 
-_loaded: dict[str, tuple[Codec, _Words]] = {}
+_loaded: dict[bytes, tuple[Codec, _Words]] = {}
+_read: dict[str, bytes] = {}
 
 
-def load(path: str) -> tuple[Codec, _Words]:
-    """Codec of a rank file, once in each Python process."""
-    if path not in _loaded:
+def vocabulary(path: str) -> bytes:
+    """Content of a rank file."""
+    if path not in _read:
+        if (size := os.path.getsize(path)) > MAX_VOCABULARY:
+            raise ValueError(f"{path} has {size} bytes, more than a vocabulary may have")
         with open(path, "rb") as f:
-            codec = Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
-        _loaded[path] = codec, _Words(codec)
-    return _loaded[path]
+            _read[path] = f.read()
+    return _read[path]
+
+
+def codec_of(raw: bytes) -> tuple[Codec, _Words]:
+    """Codec of the content of a rank file, once in each Python process."""
+    key = hashlib.sha256(raw).digest()
+    if key not in _loaded:
+        codec = Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())})
+        _loaded[key] = codec, _Words(codec)
+    return _loaded[key]
+
+
+def load(path: str) -> tuple[Codec, _Words]:
+    return codec_of(vocabulary(path))
 
 
 def encode(text: str, path: str = VOCABULARY) -> list[int]:
@@ -179,11 +199,11 @@ def decode(ids: Iterable[int], path: str = VOCABULARY) -> str:
     return load(path)[0].decode(ids).decode("utf-8", "replace")
 
 
-def _encode_batches(path: str):
+def _encode_batches(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        codec, words = load(path)
+        codec, words = codec_of(shared.value)
         find, get = regex.compile(PATTERN).findall, words.__getitem__
         lengths = np.array([len(b) for b in codec.bytes], np.int64)
         table = np.frombuffer(b"".join(codec.bytes), np.uint8)
@@ -216,14 +236,16 @@ def _encode_batches(path: str):
 def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, tokens, n_tokens, round_trip); round_trip: the ids decode to the very bytes of the text."""
     C.ship(docs.sparkSession)
-    return C.require(docs, "doc_id", "text").mapInArrow(_encode_batches(path), "doc_id long, tokens array<int>, n_tokens long, round_trip boolean")
+    return C.require(docs, "doc_id", "text").mapInArrow(_encode_batches(docs.sparkSession.sparkContext.broadcast(vocabulary(path))), "doc_id long, tokens array<int>, n_tokens long, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) of (doc_id, tokens); null tokens give a null text."""
 
+    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary(path))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = load(path)[0]
+        codec = codec_of(shared.value)[0]
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([None if t is None else codec.decode(t).decode("utf-8", "replace") for t in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 

@@ -1,14 +1,16 @@
 """Language identification (operator 4).
 
 Sparse multinomial logistic regression on TF-IDF character n-grams (see linear.py), trained with
-follow-the-regularised-leader and elastic-net penalties on at most SAMPLE labelled rows, then
-temperature-calibrated on a held-out fifth of them.  All texts are scored whole.
+follow-the-regularised-leader and elastic-net penalties on at most SAMPLE labelled rows, taken as evenly from
+all languages as they allow so that a rare one is learned too, then temperature-calibrated on a held-out fifth
+of them.  All texts are scored whole, however long.
 
 A document is rejected where the calibrated probability of the best language is below
 MIN_CONFIDENCE or the text holds no letter.
 
 Defined cases: null and letterless texts get a null language and confidence 0 and are rejected; null
-labels aren't trained on; null or repeated ids are scored like others; with no labelled row every
+labels aren't trained on; null or repeated ids are scored like others, and an id is trained on once for each
+label, with the least of its texts; with no labelled row every
 document is rejected; with one label it is given to all texts with letters; an empty table gives an
 empty result; ties go to the first language in alphabetical order; other columns are kept by
 accepted() and ignored by identify().

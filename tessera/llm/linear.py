@@ -139,18 +139,45 @@ def softmax(s: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def shares(sizes: dict, rows: int) -> dict:
+    """How many of ``rows`` each class gets: as evenly as their sizes allow."""
+    out, left = {}, rows
+    for k, (name, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], str(x[0])))):
+        out[name] = min(n, left // (len(sizes) - k))
+        left -= out[name]
+    return out
+
+
 def sample(docs: DataFrame, target: Column | None, rows: int, fold: bool, judge: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[list, list]:
-    """Vectors and targets of at most ``rows`` labelled documents, those with the least hash of their ids.
+    """Vectors and targets of at most ``rows`` labelled documents, evenly from all classes of the target: in each those with the least hash of their ids.
 
-    Two passes: ids first, then only their texts; vectors are built on the executors.  Instead of a
-    target column, ``judge`` can give an integer target of each chosen text from its bytes.
+    Classes are counted and ids picked from the columns of ids and targets alone; then only the picked texts
+    are read, and their vectors are built on the executors.  An id counts once for each target, with the least
+    of its texts.  Instead of a target column, ``judge`` can give an integer target of each chosen text from
+    its bytes.
     """
-    labelled = docs.select("doc_id", "text", (F.lit(0) if target is None else target).alias("y")).where("doc_id is not null and text is not null and y is not null")
-    chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    ids = [r[0] for r in chosen.collect()]  # at most ``rows`` integers
-    if not ids:
+    spark = docs.sparkSession
+    labelled = docs.select("doc_id", "text", (F.lit(0) if target is None else target).alias("y")).where("doc_id is not null and y is not null")
+    ids = labelled.select("doc_id", "y")
+    sizes = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}  # one row for each class
+    if not sizes or rows <= 0:
         return [], []
-    few = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long"))
+    quota = shares(sizes, rows)
+    y_type = labelled.schema["y"].dataType.simpleString()
+    # a stretch of the hashes that is expected to hold twice as many as are wanted; the rest is cut off below
+    stretch = spark.createDataFrame([(y, min(1.0, (2 * quota[y] + 64) / max(n, 1))) for y, n in sizes.items()], f"y {y_type}, upto double")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    near = ids.join(F.broadcast(stretch), "y").where(place < F.col("upto")).select("y", "doc_id", place.alias("place")).distinct().collect()  # some 2 * rows + 64 for each class
+    taken: dict = {}
+    for r in sorted(near, key=lambda r: (r["place"], r["doc_id"])):
+        mine = taken.setdefault(r["y"], [])
+        if len(mine) < quota[r["y"]]:
+            mine.append(r["doc_id"])
+    chosen = [(y, i) for y, mine in taken.items() for i in mine]
+    if not chosen:
+        return [], []
+    few = F.broadcast(spark.createDataFrame(chosen, f"y {y_type}, doc_id long"))
+    one = labelled.join(few, ["y", "doc_id"]).groupBy("doc_id", "y").agg(F.min("text").alias("text")).where("text is not null")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,8 +186,7 @@ def sample(docs: DataFrame, target: Column | None, rows: int, fold: bool, judge:
             y = pa.array([int(c) for _, _, d, o in C.pieces(data, off) for c in judge(d, o)], pa.int32()) if judge else b.column("y")
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), y, pa.array([c.astype("<i4").tobytes() for c, _ in vs], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in vs], pa.binary())], names=["doc_id", "y", "c", "n"])
 
-    y_type = labelled.schema["y"].dataType.simpleString()
-    got = labelled.join(few, "doc_id").select("doc_id", "text", "y").mapInArrow(run, f"doc_id long, y {y_type}, c binary, n binary").collect()
+    got = one.mapInArrow(run, f"doc_id long, y {y_type}, c binary, n binary").collect()
     got.sort(key=lambda r: (hash_of(r.doc_id), r.doc_id, str(r.y), bytes(r.c)))
     return [(np.frombuffer(r.c, "<i4"), np.frombuffer(r.n, "<i4")) for r in got], [r.y for r in got]
 

@@ -3,13 +3,18 @@
 Eight heuristic labellers vote good, bad or abstain on every document.  Documents with the same
 pattern of votes are alike to the label model, so the patterns of the whole corpus are counted (at
 most 3^8 of them, however many documents) and expectation-maximisation on the counts estimates the
-prior and each labeller's accuracy.  The posteriors label at most SAMPLE documents
-on which a hashed linear scorer over character n-grams is trained; it then scores every document.
-
-Defined cases: null and empty texts draw the votes of an empty text (bad) and score by the
-posterior alone; null or repeated ids are scored like others and aren't trained on if null; where all
-posteriors agree the scorer falls back on them; an empty table gives an empty result; other columns
-are ignored.
+prior and, for each labeller that votes, how often it is right about good and how often about bad
+documents.  Both are needed: a labeller of symbols is right about nearly all good documents and misses most
+bad ones, as those are bad in other ways.  The estimates start from one rule (a document is bad if anybody
+says so) and are held back by PRIOR_VOTES imaginary votes only, whatever the size of the corpus.
+
+The posteriors label at most SAMPLE documents on which a hashed linear scorer over character n-grams is
+trained; it then scores every document.
+
+Defined cases: a text without a word (null, empty, blank) is bad, with posterior and score 0, and takes no part
+in the estimates; very long texts are measured and scored whole; null or repeated ids are scored like others
+and aren't trained on if null; where all posteriors agree the scorer falls back on them; a score at the
+threshold is kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,35 +29,35 @@ from tessera.llm import common as C
 from tessera.llm import features, linear
 
 SAMPLE, ROUNDS, THRESHOLD = 4000, 100, 0.5
-#: Labeller -> (figure, bad from or None, bad up to or None, good between or None); otherwise it abstains.
+#: Labeller -> (figure, bad from, bad up to, good from, good up to); None where there is no such bound; otherwise it abstains.
 LABELLERS = {
-    "symbols": ("symbols", 0.06, None, None),
-    "capitals": ("upper", 0.40, None, None),
-    "repeated_lines": ("repeated_lines", 0.25, None, None),
-    "digits": ("digits", 0.20, None, None),
-    "repeated_words": ("repeated_words", 0.80, None, None),
-    "word_length": ("word_length", 15.0, 2.0, None),
-    "stopwords": ("stopwords", None, 0.04, (0.12, 1.0)),
-    "words": ("words", None, 0.0, None),
+    "symbols": ("symbols", 0.06, None, None, 0.02),
+    "capitals": ("upper", 0.30, None, None, 0.15),
+    "repeated_lines": ("repeated_lines", 0.25, None, None, 0.05),
+    "digits": ("digits", 0.20, None, None, 0.05),
+    "repeated_words": ("repeated_words", 0.80, None, None, 0.60),
+    "word_length": ("word_length", 12.0, 2.5, 3.5, 9.0),
+    "stopwords": ("stopwords", None, 0.04, 0.12, None),
+    "words": ("words", None, 2.0, 20.0, None),
 }
 RIPE = 15
-#: Where the accuracies start, and the share of a labeller's votes that they are held there by;
-#: every labeller is taken to be better than chance.
-FIRST_ACCURACY, HELD, LEAST_ACCURACY = 0.9, 0.2, 0.7
+#: Imaginary votes of each labeller on good and on bad documents, and how many of them are right.
+PRIOR_VOTES, PRIOR_RIGHT = 3.0, 2.0
+WORDLESS = -1
 
 
 def votes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Pattern of the votes of each row in base 3: 0 abstain, 1 bad, 2 good."""
+    """Pattern of the votes of each row in base 3: 0 abstain, 1 bad, 2 good; WORDLESS for a row without a word."""
     m = features.measure(data, off)
     code = np.zeros(len(off) - 1, np.int64)
-    for f, over, under, good in LABELLERS.values():
+    for f, over, under, least, most in LABELLERS.values():
         x = m[f]
-        no = np.zeros(len(x), bool)
-        ripe = m["words"] >= RIPE if f == "stopwords" else ~no  # a few words may well hold no stopword
+        no, yes = np.zeros(len(x), bool), np.ones(len(x), bool)
+        ripe = m["words"] >= RIPE if f == "stopwords" else yes  # a few words may well hold no stopword
         b = (x >= over if over is not None else no) | (ripe & (x <= under) if under is not None else no)
-        g = (x >= good[0]) & (x <= good[1]) if good else no
+        g = (x >= least if least is not None else yes) & (x <= most if most is not None else yes)
         code = code * 3 + np.where(b, 1, np.where(g, 2, 0))
-    return code
+    return np.where(m["words"] == 0, WORDLESS, code)
 
 
 def unpack(codes: np.ndarray) -> np.ndarray:
@@ -60,24 +65,24 @@ def unpack(codes: np.ndarray) -> np.ndarray:
     return np.stack([codes // 3 ** (n - 1 - k) % 3 for k in range(n)], 1)
 
 
-def expectation_maximisation(codes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float, np.ndarray]:
-    """Posterior of good for each pattern; prior of good; accuracy of each labeller when it votes."""
+def expectation_maximisation(codes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """Posterior of good for each pattern; prior of good; each labeller's share of right votes on good and on bad documents."""
     v = unpack(codes)
     bad, good = v == 1, v == 2
-    total = ((bad | good) * counts[:, None]).sum(0)
-    acc, prior, post = np.full(len(LABELLERS), FIRST_ACCURACY), 0.5, np.zeros(len(codes))
+    post = np.where(bad.any(1), 0.1, 0.9)
+    prior, on_good, on_bad = 0.5, np.zeros(v.shape[1]), np.zeros(v.shape[1])
     for _ in range(rounds):
-        odds = np.log(acc / (1 - acc))
-        new = 1 / (1 + np.exp(-np.clip(good @ odds - bad @ odds + np.log(prior / (1 - prior)), -500, 500)))
+        g, b = (post * counts)[:, None], ((1 - post) * counts)[:, None]
+        prior = float(np.clip(g.sum() / max(1, counts.sum()), 0.01, 0.99))
+        on_good = ((good * g).sum(0) + PRIOR_RIGHT) / (((good | bad) * g).sum(0) + PRIOR_VOTES)
+        on_bad = ((bad * b).sum(0) + PRIOR_RIGHT) / (((good | bad) * b).sum(0) + PRIOR_VOTES)
+        odds = np.log(prior / (1 - prior)) + good @ np.log(on_good / (1 - on_bad)) + bad @ np.log((1 - on_good) / on_bad)
+        new = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         done = np.abs(new - post).max(initial=0) < 1e-9
         post = new
-        prior = float(np.clip((post * counts).sum() / max(1, counts.sum()), 0.05, 0.95))
-        right = ((good * post[:, None] + bad * (1 - post[:, None])) * counts[:, None]).sum(0)
-        held = HELD * total + 1
-        acc = np.clip((right + FIRST_ACCURACY * held) / (total + held), LEAST_ACCURACY, 0.99)
         if done:
             break
-    return post, prior, acc
+    return post, prior, on_good, on_bad
 
 
 def _votes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,10 +98,11 @@ def classify(docs: DataFrame, rows: int = SAMPLE, threshold: float = THRESHOLD)
     base = C.require(docs, "doc_id", "text")
     voted = base.select("text").mapInArrow(_votes, "code int")
     found = voted.groupBy("code").count().collect()  # at most 3^8 rows
+    found = [r for r in found if r["code"] != WORDLESS]
     codes, counts = np.array([r["code"] for r in found], np.int64), np.array([r["count"] for r in found], float)
-    post = expectation_maximisation(codes, counts)[0] if len(found) else np.zeros(0)
-    lookup = np.full(3 ** len(LABELLERS), 0.5)
-    lookup[codes] = post
+    lookup = np.zeros(3 ** len(LABELLERS) + 1)  # the last for WORDLESS
+    if len(found):
+        lookup[codes] = expectation_maximisation(codes, counts)[0]
     shared_posterior = spark.sparkContext.broadcast(lookup)
 
     # the sample is chosen by ids; only its texts are voted on again
@@ -111,11 +117,11 @@ def classify(docs: DataFrame, rows: int = SAMPLE, threshold: float = THRESHOLD)
         table, lookup = shared.value, shared_posterior.value
         for b in batches:
             for i, j, d, o in C.pieces(*C.buffers(b.column(1))):
-                p = lookup[votes(d, o)]
+                code = votes(d, o)
+                p = lookup[code]
                 score = p
                 if table is not None:
-                    s, grams = linear.scores(d, o, table, fold=False)
-                    score = np.where(grams > 0, linear.softmax(s)[:, 1], p)
+                    score = np.where(code == WORDLESS, 0.0, linear.softmax(linear.scores(d, o, table, fold=False)[0])[:, 1])
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j].cast(pa.int64()), pa.array(p), pa.array(score.astype(float)), pa.array(score >= threshold)], names=["doc_id", "posterior", "score", "keep"])
 
     return base.mapInArrow(run, "doc_id long, posterior double, score double, keep boolean")

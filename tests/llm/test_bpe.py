@@ -46,3 +46,19 @@ def test_cases(spark):
     assert got == sorted([(1, n, True), (2, 0, True), (3, None, None), (None, 1, True), (4, 1, True), (4, 1, True), (None, None, None)], key=str)
     assert sorted(str(r.text)[:3] for r in bpe.decode_documents(bpe.encode_documents(df)).collect()) == sorted(["xxx", "", "Non", "hi", "hi", "hi", "Non"])
     assert bpe.encode_documents(df.limit(0)).collect() == []
+
+
+def test_a_vocabulary_without_some_byte_is_refused():
+    with pytest.raises(ValueError, match="lacks 253"):
+        bpe.Codec({b"a": 0, b"b": 1, b"c": 2})
+
+
+def test_executors_need_no_file(spark, tmp_path):
+    import shutil
+
+    path = str(tmp_path / "ranks.tiktoken")
+    shutil.copy(bpe.VOCABULARY, path)
+    df = spark.createDataFrame([(1, "hello world")], "doc_id long, text string")
+    out = bpe.encode_documents(df, path)
+    shutil.move(path, path + ".moved")
+    assert out.head().tokens == bpe.encode("hello world")

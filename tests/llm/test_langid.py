@@ -45,3 +45,17 @@ def test_scores_equal_the_sum_over_the_vector():
         s, n = linear.scores(data, off, w, fold)
         for i, (c, k) in enumerate(linear.vectors(data, off, fold)):
             assert n[i] == k.sum() and np.allclose(s[i], (w[c] * k[:, None]).sum(0) / max(1, k.sum()), atol=1e-5)
+
+
+def test_a_rare_language_is_learned(spark):
+    import random
+
+    rnd = random.Random(1)
+    say = lambda syllables: " ".join("".join(rnd.choice(syllables) for _ in range(3)) for _ in range(30))
+    rows = [(i, say(["ka", "lo", "mi"]), "common") for i in range(3000)] + [(5000 + i, say(["sch", "zu", "ei"]), "rare") for i in range(12)] + [(9, say(["ka"]), "common")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    xs, ys = linear.sample(df, df["lang"], 100, fold=True)
+    assert len(ys) == 100 and ys.count("rare") == 12
+    out = langid.identify(spark.createDataFrame([(1, say(["sch", "zu", "ei"])), (2, say(["ka", "lo", "mi"]))], "doc_id long, text string"), langid.train(df, 100)).collect()
+    assert {r.doc_id: r.language for r in out} == {1: "rare", 2: "common"}
+    assert linear.shares({"a": 5, "b": 1000, "c": 1000}, 105) == {"a": 5, "b": 50, "c": 50}

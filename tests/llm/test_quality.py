@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from tessera.llm import common as C
 from tessera.llm import features
 from tessera.llm import quality_rules as Q
 from tessera.llm import weak_quality as W
@@ -166,14 +167,74 @@ def test_rule_cases(spark):
 def test_label_model_finds_accuracies():
     rnd = np.random.default_rng(0)
     y = rnd.random(40000) < 0.8
-    acc = np.array([0.95, 0.9, 0.85, 0.8, 0.95, 0.9, 0.85, 0.8])
-    right = rnd.random((len(y), 8)) < acc
-    vote = np.where(rnd.random((len(y), 8)) < 0.6, np.where(right == y[:, None], 2, 1), 0)
+    on_good, on_bad = np.array([0.99, 0.97, 0.95, 0.99, 0.98, 0.9, 0.97, 0.99]), np.array([0.7, 0.5, 0.3, 0.2, 0.6, 0.8, 0.4, 0.6])
+    right = rnd.random((len(y), 8)) < np.where(y[:, None], on_good, on_bad)
+    vote = np.where(rnd.random((len(y), 8)) < 0.8, np.where(right == y[:, None], 2, 1), 0)
     code = sum(vote[:, k] * 3 ** (7 - k) for k in range(8))
     codes, inv, n = np.unique(code, return_inverse=True, return_counts=True)
-    post, prior, got = W.expectation_maximisation(codes, n.astype(float))
+    post, prior, good, bad = W.expectation_maximisation(codes, n.astype(float))
     assert (W.unpack(codes)[inv] == vote).all()
-    assert abs(prior - 0.8) < 0.03 and np.abs(got - acc).max() < 0.05 and ((post[inv] > 0.5) == y).mean() > 0.95
+    assert abs(prior - 0.8) < 0.03 and np.abs(good - on_good).max() < 0.02 and np.abs(bad - on_bad).max() < 0.06 and ((post[inv] > 0.5) == y).mean() > 0.95
+
+
+def brute_posteriors(texts):
+    """Votes from the figures of each text and the estimates document by document."""
+    votes = []
+    for t in texts:
+        f, row = figures_of(t), []
+        for figure, over, under, least, most in W.LABELLERS.values():
+            x = f[figure]
+            if (over is not None and x >= over) or (under is not None and x <= under and (figure != "stopwords" or f["words"] >= W.RIPE)):
+                row.append(1)
+            else:
+                row.append(2 if (least is None or x >= least) and (most is None or x <= most) else 0)
+        votes.append(row if f["words"] else None)
+    known = [v for v in votes if v]
+    post = [0.1 if 1 in v else 0.9 for v in known]
+    for _ in range(W.ROUNDS):
+        prior = min(max(sum(post) / len(post), 0.01), 0.99)
+        rate = lambda k, right, weights: (sum(w for v, w in zip(known, weights) if v[k] == right) + W.PRIOR_RIGHT) / (sum(w for v, w in zip(known, weights) if v[k]) + W.PRIOR_VOTES)
+        a, b = [rate(k, 2, post) for k in range(8)], [rate(k, 1, [1 - p for p in post]) for k in range(8)]
+        new = []
+        for v in known:
+            z = prior / (1 - prior)
+            for k, x in enumerate(v):
+                z *= a[k] / (1 - b[k]) if x == 2 else (1 - a[k]) / b[k] if x == 1 else 1
+            new.append(z / (1 + z))
+        done = max(abs(p - q) for p, q in zip(new, post)) < 1e-9
+        post = new
+        if done:
+            break
+    it = iter(post)
+    return [next(it) if v else 0.0 for v in votes]
+
+
+def test_posteriors_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()] + [(None, None), (5000, ""), (5001, " \n "), (5002, "$$ ## " * 30), (5003, "word")]
+    want = brute_posteriors([t for _, t in rows])
+    out = {r.doc_id: r for r in W.classify(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(out) == len(rows) and all(abs(out[i].posterior - p) < 1e-6 for (i, _), p in zip(rows, want))
+    assert all(out[i].score == 0 and not out[i].keep for i in (None, 5000, 5001))
+    assert np.mean([(out[i].posterior >= 0.5) == out[i].keep for i, _ in rows]) > 0.97  # the scorer has learned them
+
+
+def test_the_labellers_themselves_against_labels():
+    """Figures of real documents: each labeller's rates are estimated without labels and held against them."""
+    import pyarrow.parquet as pq
+
+    d = "/root/testdata/sf0.1"
+    lab = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{d}/labels.parquet").to_pylist()}
+    table = pq.read_table(f"{d}/documents.parquet", columns=["doc_id", "text"])
+    code = W.votes(*C.buffers(table["text"]))
+    codes, inv, n = np.unique(code, return_inverse=True, return_counts=True)
+    post, prior, on_good, on_bad = W.expectation_maximisation(codes, n.astype(float))
+    y = np.array([lab.get(i, -1) for i in table["doc_id"].to_pylist()])
+    v, kept = W.unpack(code), post[inv] >= 0.5
+    assert kept[y == 1].mean() > 0.99 and kept[y == 0].mean() < 0.3 and abs(prior - (y == 1).sum() / (y >= 0).sum()) < 0.06
+    for k in range(8):
+        voted = v[:, k] > 0
+        assert abs((v[voted & (y == 1), k] == 2).mean() - on_good[k]) < 0.05 and abs((v[voted & (y == 0), k] == 1).mean() - on_bad[k]) < 0.25
 
 
 def test_classifier_against_labels(spark):
