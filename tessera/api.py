@@ -16,27 +16,28 @@ from tessera.operators import changes, lookup
 from tessera.operators.pack import Packer
 from tessera.operators.store import IndexStore
 from tessera.parsing.tables import with_symbols
-from tessera.sources.repo import Options, read_repo
+from tessera.sources.repo import Options, list_repo, read_repo
 
 
 class NotFound(LookupError):
     pass
 
 
-def open_store(spark: SparkSession, root: str, store: str | None = None) -> IndexStore:
-    return IndexStore(spark, store or os.path.join(os.path.abspath(root), ".index"))
+def open_store(spark: SparkSession, root: str, store: str | None = None, buckets: int | None = None) -> IndexStore:
+    return IndexStore(spark, store or os.path.join(os.path.abspath(root), ".index"), buckets)
 
 
 def hashed(listing: DataFrame) -> DataFrame:
     return listing.select("path", text.sha256(F.col("content")).alias("hash"), "content")
 
 
-def index(spark: SparkSession, root: str, store: str | None = None, options: Options = Options(), purge: bool = False) -> IndexStore:
+def index(spark: SparkSession, root: str, store: str | None = None, options: Options = Options(), purge: bool = False, buckets: int | None = None) -> IndexStore:
     """Brings the index up to date: only new and changed files are parsed and written.
 
-    Files that are gone stay in the index unless ``purge``.
+    Each file is read once.  Files that are gone stay in the index unless ``purge``, which reads the tree again.
+    ``buckets`` counts for a new index.
     """
-    into = open_store(spark, root, store)
+    into = open_store(spark, root, store, buckets)
     listing = hashed(read_repo(spark, root, options))
     fresh = changes.changed(listing, into.files().select("path", "hash"))
     into.merge(with_symbols(fresh))
@@ -61,8 +62,7 @@ def get(spark: SparkSession, root: str, symbol_or_path: str, store: str | None =
 def outline(spark: SparkSession, root: str, path: str, store: str | None = None) -> str:
     """A file's skeleton."""
     s = open_store(spark, root, store)
-    own = s.symbols().where(F.col("path") == path)
-    row = lookup.outlines(s.file(path), own).head()
+    row = lookup.outlines(s.file(path), s.symbols_of(path)).head()
     if row is None:
         raise NotFound(f"Path not found: {path}")
     return row.outline
@@ -83,6 +83,6 @@ def pack(spark: SparkSession, target: str, packer: Packer | None = None, include
         files = files.where(F.col("path") == os.path.basename(target))
     else:
         files = files.where(paths.selected(F.col("path"), include, ignore))
-    listing = read_repo(spark, root, options).select("path")
+    listing = list_repo(spark, root, options).select("path")
     packer = packer or Packer()
     return replace(packer, root=root).text(changes.present(files, listing), s.symbols())

@@ -7,7 +7,7 @@ added, so the work stays spread however long the table is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.lineage import checkpointed
@@ -33,6 +33,16 @@ def degraded(sized: DataFrame, limit: int | None, start: int = 0, order: str = "
     """
     if limit is None:
         return sized.select(order, F.lit(False).alias("degraded"))
+    first = first_over(sized, limit, start, order, whole, content)
+    return sized.select(order).crossJoin(first).select(order, past(F.col(order)).alias("degraded"))
+
+
+def past(order: Column) -> Column:
+    """Whether a row that was joined to first_over() comes at or after it."""
+    return F.coalesce(order >= F.col("_first"), F.lit(False))
+
+
+def first_over(sized: DataFrame, limit: int, start: int = 0, order: str = "path", whole: str = "rendered_tokens", content: str = "content_tokens") -> DataFrame:
+    """One row (_first): the first of the order whose content would exceed the limit, null if none would."""
     sums = running_sum(sized.select(order, whole, content), order, whole)
-    first = sums.where(F.col("before") + F.lit(start) + F.col(content) > limit).agg(F.min(order).alias("_first"))  # one row
-    return sized.select(order).crossJoin(first).select(order, F.coalesce(F.col(order) >= F.col("_first"), F.lit(False)).alias("degraded"))
+    return F.broadcast(sums.where(F.col("before") + F.lit(start) + F.col(content) > limit).agg(F.min(order).alias("_first")))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tessera.functions import skeleton, text
 
+#: Bytes of parts that one automaton searches for.
+PARTS_BYTES = 16 << 20
+
 
 def search(symbols: DataFrame, query: str) -> DataFrame:
     """(id) of the symbols whose name contains the query."""
@@ -40,6 +47,49 @@ def signatures(symbols: DataFrame) -> DataFrame:
     return grouped_symbols(symbols).select("path", F.transform("symbols", lambda s: F.concat(s["kind"], F.lit(" "), s["name"])).alias("signatures"))
 
 
-def containing(left: DataFrame, right: DataFrame, text_column: Column, part: Column) -> DataFrame:
-    """Pairs in which one text contains another: a theta join, for a right side that is small."""
-    return left.join(right, F.contains(text_column, part))
+def containing(left: DataFrame, right: DataFrame, text_column: Column, part: Column, most: int = PARTS_BYTES) -> DataFrame:
+    """Pairs in which a text of ``left`` contains a part of ``right``, with the columns of both.
+
+    The parts are searched all at once: an automaton of the distinct parts passes over each text, and what it
+    finds is joined to ``right`` by equality.  An automaton holds ``most`` bytes of parts; more parts are cut
+    into blocks, each with a pass of its own.  Null texts and parts match nothing, an empty part every text.
+    """
+    spark = left.sparkSession
+    parts = right.select(part.alias("part")).where(F.col("part").isNotNull()).distinct()
+    size = parts.agg(F.coalesce(F.sum(F.octet_length("part")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // most))
+    text_at, found_at = _unused(left, right, "text_"), _unused(left, right, "found_")
+    texts, out = left.withColumn(text_at, text_column), None
+    schema = StructType([*left.schema.fields, StructField(found_at, ArrayType(StringType()))])
+    for k in range(blocks):
+        words = [r.part for r in parts.where(F.pmod(F.xxhash64("part"), F.lit(blocks)) == k).toLocalIterator()]
+        found = texts.mapInArrow(_finder(spark.sparkContext.broadcast(words), texts.columns.index(text_at), found_at), schema).where(F.size(found_at) > 0)
+        out = found if out is None else out.unionByName(found)
+    pairs = out.select(*[F.col(c) for c in left.columns], F.explode(found_at).alias(found_at))
+    keyed = right.withColumn(text_at, part)
+    return pairs.join(keyed, pairs[found_at] == keyed[text_at]).drop(found_at, text_at)
+
+
+def _finder(shared, at: int, into: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton, every = ahocorasick.Automaton(), [""] if "" in shared.value else []
+        for w in shared.value:
+            if w:
+                automaton.add_word(w, w)
+        if len(automaton):
+            automaton.make_automaton()
+        for b in batches:
+            found = [None if t is None else every + sorted({w for _, w in automaton.iter(t)} if len(automaton) else ()) for t in b.column(at).to_pylist()]
+            columns = [c for i, c in enumerate(b.columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.string()))], names=[*(n for i, n in enumerate(b.schema.names) if i != at), into])
+
+    return run
+
+
+def _unused(left: DataFrame, right: DataFrame, stem: str) -> str:
+    taken = {c.lower() for c in left.columns + right.columns}
+    while stem in taken:
+        stem = "_" + stem
+    return stem

@@ -6,6 +6,7 @@ one string can hold 2 GB at most.
 
 from __future__ import annotations
 
+import logging
 from abc import ABC, abstractmethod
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -20,6 +21,7 @@ from tessera.operators.lineage import checkpointed
 from tessera.parsing.languages import Language
 from tessera.parsing.tables import with_symbols
 
+log = logging.getLogger(__name__)
 _NO_METADATA = "map<string,string>"
 
 
@@ -105,6 +107,10 @@ class Packer:
     def xml(self) -> bool:
         return self.format.lower() == "xml"
 
+    def unreadable(self, files: DataFrame) -> DataFrame:
+        """(path) of the files that contents() leaves out: null content, or not UTF-8."""
+        return files.where(~F.coalesce(text.is_utf8(F.col("content")), F.lit(False))).select("path")
+
     def contents(self, files: DataFrame) -> DataFrame:
         """(path, content, metadata) of the files of (path, content bytes) that are valid UTF-8, as they are packed."""
         readable = files.where(text.is_utf8(F.col("content"))).select("path", cleaned(F.col("content").cast("string"), self.remove_empty_lines, self.truncate_base64).cast("binary").alias("content"))
@@ -133,7 +139,7 @@ class Packer:
         """(section, path, text) of the document, to be read in the order of section and path."""
         spark = files.sparkSession
         fixed = lambda *rows: spark.createDataFrame(list(rows), "section int, path string, text string")
-        out, start = [], 0
+        out: list[DataFrame] = []
         if self.xml:
             out.append(fixed((0, "", "<repository>\n"), (9, "", "</repository>\n")))
         if not self.no_file_summary:
@@ -144,22 +150,32 @@ class Packer:
             ready = checkpointed(self.contents(files))  # parsed once; sized, latched and rendered from there
             path = self._shown(F.col("path"))
             if self.max_tokens is not None:
-                for part in out:
-                    start += part.where("section < 9").select(self.counter(F.col("text")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-            sized = ready.select("path", self.counter(F.col("content")).alias("content_tokens"), self.counter(file_block(path, F.col("content"), F.col("metadata"), self.xml)).alias("rendered_tokens"))
-            flagged = ready.join(latch.degraded(sized, self.max_tokens, start), "path") if self.max_tokens is not None else ready.withColumn("degraded", F.lit(False))
+                sized = ready.select("path", self.counter(F.col("content")).alias("content_tokens"), self.counter(file_block(path, F.col("content"), F.col("metadata"), self.xml)).alias("rendered_tokens"))
+                before = _union(out, fixed()).where("section < 9").select(self.counter(F.col("text")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+                # one row, joined to the texts where they are
+                flagged = ready.crossJoin(latch.first_over(sized, self.max_tokens, before)).withColumn("degraded", latch.past(F.col("path")))
+            else:
+                flagged = ready.withColumn("degraded", F.lit(False))
             block = F.when(F.col("degraded"), file_block(path, None, F.col("metadata"), self.xml)).otherwise(file_block(path, F.col("content"), F.col("metadata"), self.xml))
             out.append(flagged.select(F.lit(4).alias("section"), "path", block.alias("text")))
-        result = out[0] if out else fixed()
-        for part in out[1:]:
-            result = result.unionByName(part)
-        return result
+        return _union(out, fixed())
 
     def text(self, files: DataFrame, symbols: DataFrame | None = None) -> str:
-        """The document as one string, streamed to the driver in its order."""
+        """The document as one string, streamed to the driver in its order; a file that isn't UTF-8 is skipped with a warning."""
+        if not self.no_files:
+            skipped = self.unreadable(files).orderBy("path")
+            for r in skipped.toLocalIterator():
+                log.warning("skipped %s: not UTF-8", r.path)
         return "".join(r.text for r in self.rows(files, symbols).orderBy("section", "path").select("text").toLocalIterator())
 
 
+def _union(parts: list[DataFrame], none: DataFrame) -> DataFrame:
+    result = parts[0] if parts else none
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
 def document(parts: DataFrame, by: list[str], order: str = "path", part: str = "text") -> DataFrame:
     """One document for each group: the parts in their order, put together."""
     return parts.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, part))), lambda x: x[part]), "").alias("document"))

@@ -10,6 +10,7 @@ Offsets are bytes of the UTF-8 text.  Texts are held as Latin-1 inside, one char
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 import warnings
 from collections.abc import Iterator
@@ -290,13 +291,22 @@ def _impl_type(rest: str) -> str:
     return re.split(r"\bfor\s+(?!<)", rest)[-1].strip()
 
 
+_MACRO = re.compile(r"\w!\s*(?:\w+\s*)?\Z")
+
+
 def _braces(text: str, language: Language) -> Iterator[Symbol]:
     name = language.name
     masked = blank(text, name)
     blocks = sorted(_blocks(masked), key=lambda b: (b[1] if b[1] is not None else b[2] - 1))
     open_: list[tuple[int, str | None]] = []  # (end, declaration word) of the blocks around
+    macro_end = -1  # what a Rust macro holds are tokens, not declarations
     for head, brace, end, _ in blocks:
         at = brace if brace is not None else end - 1
+        if at < macro_end:
+            continue
+        if name == "rust" and brace is not None and _MACRO.search(masked, max(head, brace - 200), brace):
+            macro_end = end
+            continue
         while open_ and open_[-1][0] <= at:
             open_.pop()
         inside = open_[-1][1] if open_ else None
@@ -359,11 +369,19 @@ _PY_HEAD = re.compile(r"^(?P<i>[ \t]*)(?P<d>(?:async[ \t]+)?(?P<w>def|class)[ \t
 
 def _python_by_indentation(text: str, language: Language) -> Iterator[Symbol]:
     masked = blank(text, "python")
-    for m in _PY_HEAD.finditer(masked):
+    # start, indent and printed end of the lines that aren't blank; after each the next one that is indented less
+    lines = [(m.start(), m.end("i") - m.start(), m.end()) for m in re.finditer(r"^(?P<i>[ \t\f\v]*)[^\s](?:[^\n]*[^\s])?", masked, re.M)]
+    starts, less, stack = [at for at, _, _ in lines], [len(lines)] * len(lines), []
+    for j, (_, indent, _) in enumerate(lines):
+        while stack and lines[stack[-1]][1] > indent:
+            less[stack.pop()] = j
+        stack.append(j)
+    heads = list(_PY_HEAD.finditer(masked))
+    for m, after in zip(heads, [h.start() for h in heads[1:]] + [len(masked)]):
         if m["w"] not in language.kinds:
             continue
         depth, colon = 0, -1
-        for i in range(m.end(), len(masked)):
+        for i in range(m.end(), after):  # a parenthesis that isn't closed ends before the next declaration
             c = masked[i]
             depth += (c in "([{") - (c in ")]}")
             if c == ":" and depth <= 0:
@@ -373,17 +391,14 @@ def _python_by_indentation(text: str, language: Language) -> Iterator[Symbol]:
                 break
         if colon < 0:
             continue
-        end = line_end = (masked.find("\n", colon) + 1 or len(masked) + 1) - 1
+        line_end = (masked.find("\n", colon) + 1 or len(masked) + 1) - 1
         if masked[colon:line_end].strip():
             end = colon + len(masked[colon:line_end].rstrip())
         else:
-            at, end = line_end + 1, colon
-            for line in masked[at:].splitlines(keepends=True):
-                if line.strip():
-                    if len(line) - len(line.lstrip()) <= len(m["i"]):
-                        break
-                    end = at + len(line.rstrip())
-                at += len(line)
+            first = j = bisect.bisect_right(starts, line_end)
+            while j < len(lines) and lines[j][1] > len(m["i"]):
+                j = less[j]
+            end = lines[j - 1][2] if j > first else colon
         yield Symbol(m["n"], language.kinds[m["w"]], m.start("d"), end, colon if end > colon else None, end if end > colon else None)
 
 
@@ -394,11 +409,13 @@ _RUBY = re.compile(
 )
 _RUBY_HEAD = re.compile(r"(?:class|module)[ \t]+(?P<n>[A-Z\x80-\xff][\w:\x80-\xff]*)(?P<s>[ \t]*<[ \t]*[^\n;]+)?|def[ \t]+(?:(?:self|[A-Za-z_]\w*)\.)?(?P<m>[\w\x80-\xff]+[?!=]?|\[\]=?|[-+*/%<>=!~^&|]{1,3})(?P<p>[ \t]*\([^()]*(?:\([^()]*\)[^()]*)*\)|[ \t]+[^\n;=]+)?")
 
+_ENDLESS = re.compile(r"def[ \t]+(?:(?:self|[A-Za-z_]\w*)\.)?(?P<n>[\w\x80-\xff]+[?!]?)[ \t]*(?:\([^()\n]*\))?[ \t]*=(?![=~>])")
+
 
 def _ruby(text: str, language: Language) -> Iterator[Symbol]:
     masked = blank(text, "ruby")
     stack: list[tuple[str, int]] = []
-    loop_line = -1
+    loop_at = -1  # of the last loop word; a do on its line belongs to it
     for m in _RUBY.finditer(masked):
         if m["end"]:
             if not stack:
@@ -407,14 +424,20 @@ def _ruby(text: str, language: Language) -> Iterator[Symbol]:
             if (s := _ruby_symbol(text, masked, word, at, m.start(), m.end(), language)) is not None:
                 yield s
         elif m["do"]:
-            if masked.count("\n", 0, m.start()) != loop_line:
+            if masked.find("\n", loop_at, m.start()) >= 0 or loop_at < 0:
                 stack.append(("do", m.start()))
         else:
             word, at = m["k"], m.start("k")
-            if word == "def" and re.match(r"def[ \t]+[\w.?!]+[ \t]*(?:\([^)]*\))?[ \t]*=(?![=~>])", masked[at : at + 300]):
-                continue  # one expression, without an end
+            if word == "def" and (one := _ENDLESS.match(masked, at)):  # one expression, without an end
+                if word in language.kinds:
+                    line = (masked.find("\n", one.end()) + 1 or len(masked) + 1) - 1
+                    end = one.end() + len(masked[one.end() : line].rstrip(" \t\r;"))
+                    body = one.end() + len(masked[one.end() : end]) - len(masked[one.end() : end].lstrip())
+                    if body < end:
+                        yield Symbol(one["n"], language.kinds[word], at, end, body, end)
+                continue
             if word in ("while", "until", "for"):
-                loop_line = masked.count("\n", 0, at)
+                loop_at = at
             stack.append((word, at))
     for word, at in stack:
         if (s := _ruby_symbol(text, masked, word, at, len(text), len(text), language)) is not None:

@@ -5,63 +5,70 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tessera.functions import paths, text
 from tessera.parsing import scanner
 from tessera.parsing.languages import BY_EXTENSION, Language
 from tessera.schema import SYMBOL_ARRAY
 
-_FIELDS = ("name", "qualified_name", "kind", "start", "end", "body_start", "body_end", "ord")
-_ARROW = pa.list_(pa.struct([(f, pa.string() if f in ("name", "qualified_name", "kind") else pa.int32() if f == "ord" else pa.int64()) for f in _FIELDS]))
+_FIELDS = ("name", "qualified_name", "kind", "start", "end", "body_start", "body_end", "ord", "last")
+_TYPES = {"ord": pa.int32(), "last": pa.bool_(), **dict.fromkeys(("name", "qualified_name", "kind"), pa.string())}
+_ARROW = pa.list_(pa.struct([(f, _TYPES.get(f, pa.int64())) for f in _FIELDS]))
 
 
 def symbols_of(source: str | bytes | None, language: Language | None) -> list[dict]:
-    """Symbols of one text as dictionaries; none without a language."""
+    """Symbols of one text as dictionaries, ``last`` marking the last declaration of each qualified name; none without a language."""
     if source is None or language is None:
         return []
-    raw = source.encode("utf-8") if isinstance(source, str) else source
-    return [{f: getattr(s, f) if f != "ord" else i for f in _FIELDS} for i, s in enumerate(scanner.parse(raw, language))]
+    found = scanner.parse(source.encode("utf-8") if isinstance(source, str) else source, language)
+    last = {s.qualified_name: i for i, s in enumerate(found)}
+    return [{f: getattr(s, f) for f in _FIELDS[:7]} | {"ord": i, "last": last[s.qualified_name] == i} for i, s in enumerate(found)]
 
 
-def supported(path: Column, languages: dict[str, Language] | None = None) -> Column:
-    return paths.extension(path).isin(*(languages or BY_EXTENSION))
+def _symbols(path: str | None, source: bytes | str | None, known: dict[str, Language]) -> list[dict] | None:
+    if path is None or source is None:
+        return None
+    stem, dot, extension = path.rpartition("/")[2].rpartition(".")
+    if not (stem and dot) or extension not in known:
+        return None
+    if isinstance(source, bytes):
+        try:
+            source.decode("utf-8")
+        except UnicodeDecodeError:
+            return None
+    return symbols_of(source, known[extension])
 
 
 def with_symbols(files: DataFrame, content: str = "content", into: str = "symbols", languages: dict[str, Language] | None = None) -> DataFrame:
     """The files with an array of symbols: empty where the text has none, null where nothing was parsed.
 
-    Parsed are files of a known extension whose content is valid UTF-8.  Only path and content of those
-    travel to Python; the other columns and the other files come along untouched.
+    Parsed are files of a known extension whose content is valid UTF-8.  The files are read once and travel
+    as Arrow batches; the columns of the others are passed through as they are.
     """
-    known = languages or BY_EXTENSION
+    known = dict(languages or BY_EXTENSION)
     at, path_at = files.columns.index(content), files.columns.index("path")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [symbols_of(c, known[p.rpartition(".")[2]]) for p, c in zip(b.column(path_at).to_pylist(), b.column(at).to_pylist())]
+            ends = b.column(path_at).to_pylist()
+            wanted = [i for i, p in enumerate(ends) if p is not None and p.rpartition(".")[2] in known]
+            texts = dict(zip(wanted, b.column(at).take(pa.array(wanted, pa.int64())).to_pylist()))
+            found = [_symbols(p, texts.get(i), known) for i, p in enumerate(ends)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, _ARROW)], names=[*b.schema.names, into])
 
-    binary = files[content] if dict(files.dtypes)[content] == "binary" else files[content].cast("binary")
-    parsed = F.coalesce(supported(files["path"], known) & text.is_utf8(binary), F.lit(False))
-    schema = StructType([*files.schema.fields, StructField(into, SYMBOL_ARRAY)])
-    rest = files.where(~parsed).withColumn(into, F.lit(None).cast(SYMBOL_ARRAY))
-    return files.where(parsed).mapInArrow(run, schema).unionByName(rest)
+    return files.mapInArrow(run, StructType([*files.schema.fields, StructField(into, SYMBOL_ARRAY)]))
 
 
 def exploded(files: DataFrame, symbols: str = "symbols") -> DataFrame:
     """One row for each symbol: (path, id, name, kind, byte_offset, byte_length, ord).
 
     Where a file declares a qualified name more than once the last declaration wins.  All declarations of
-    an id are in one file, so this needs no shuffle: each array is deduplicated on its own.
+    an id are in one file and the parser has marked the last, so this needs no shuffle.
     """
-    a = F.col(symbols)
-    rows = files.select("path", F.posexplode(a).alias("pos", "s"), F.transform(a, lambda s: s["qualified_name"]).alias("names"))
-    # the last occurrence: nothing of the same name after this one
-    wins = F.array_position(F.slice(F.col("names"), F.col("pos") + 2, F.greatest(F.size("names") - F.col("pos") - 1, F.lit(0))), F.col("s.qualified_name")) == 0
-    return rows.where(wins).select(
+    rows = files.select("path", F.explode(F.filter(symbols, lambda s: s["last"])).alias("s"))
+    return rows.select(
         F.concat(F.col("path"), F.lit("::"), F.col("s.qualified_name")).alias("id"), "path", F.col("s.qualified_name").alias("name"), F.col("s.kind").alias("kind"),
         F.col("s.start").alias("byte_offset"), (F.col("s.end") - F.col("s.start")).alias("byte_length"), F.col("s.ord").alias("ord"),
         F.col("s.body_start").alias("body_start"), F.col("s.body_end").alias("body_end"),

@@ -1,21 +1,24 @@
 """A source tree as a table: ``spark.read.format("repo").load(root)`` gives (path, size, content).
 
-The driver walks the tree, applies the rules that need no content, and hands chunks of paths to the
+The driver walks the tree once, applies the rules that need no content, and hands chunks of paths to the
 executors, which read each file once.  Options: maxFileBytes, maxFileCount, followSymlinks,
 respectGitignore, ignoreFile, onEscape ("error" or "skip") and filesPerPartition.
 
 Hidden names are left out.  Ignore files have the syntax of Git's and hold for their folder and below;
 a rule of a deeper folder wins over one of a higher, a later over an earlier, and the custom file over
-.ignore over .gitignore.  Ignore files above the root aren't read.
+.ignore over .gitignore over .git/info/exclude over the user's global file (core.excludesFile, else
+$XDG_CONFIG_HOME/git/ignore).  Ignore files of the folders above the root hold too; .gitignore only up to
+the repository that the root lies in.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -102,15 +105,42 @@ def _rules(file: str) -> list[tuple[re.Pattern, bool, bool]]:
 
 
 def _ignored(rel: str, folder: bool, levels: list[tuple[str, list]]) -> bool:
-    """``levels``: (folder with a slash at its end or nothing, rules), the strongest last."""
+    """``levels``: (folder with a slash at its end or nothing, rules), the strongest last; "^x/" is a folder above of which the root is x."""
     for base, rules in reversed(levels):
-        below = rel[len(base) :]
+        below = base[1:] + rel if base.startswith("^") else rel[len(base) :]
         for pattern, negated, only_folders in reversed(rules):
             if (folder or not only_folders) and pattern.match(below):
                 return not negated
     return False
 
 
+def _global_rules() -> list[tuple[re.Pattern, bool, bool]]:
+    """Rules of the user's global ignore file."""
+    home = os.path.expanduser("~")
+    configs = [os.path.join(os.environ.get("XDG_CONFIG_HOME") or os.path.join(home, ".config"), "git"), home]
+    for config in (os.path.join(home, ".gitconfig"), os.path.join(configs[0], "config")):
+        try:
+            with open(config, encoding="utf-8", errors="replace") as f:
+                if m := re.search(r"^\s*excludesfile\s*=\s*\"?([^\"\n]+?)\"?\s*$", f.read(), re.I | re.M):
+                    return _rules(os.path.expanduser(m[1]))
+        except OSError:
+            continue
+    return _rules(os.path.join(configs[0], "ignore"))
+
+
+def _above(top: str, names: list[str], git: bool) -> list[list[tuple[str, list]]]:
+    """For each kind of ignore file the rules of the folders above the root, as levels whose base is negative: the path from there to the root."""
+    out: list[list[tuple[str, list]]] = [[] for _ in names]
+    at, inside = top, True
+    while (up := os.path.dirname(at)) != at:
+        inside = inside and not os.path.exists(os.path.join(at, ".git"))
+        for k, name in enumerate(names):
+            if (name != ".gitignore" or (git and inside)) and (r := _rules(os.path.join(up, name))):
+                out[k].insert(0, ("^" + os.path.relpath(top, up) + "/", r))
+        at = up
+    return out
+
+
 # ---------------------------------------------------------------- walk
 
 def walk(root: str, o: Options = Options()) -> list[tuple[str, int]]:
@@ -119,10 +149,12 @@ def walk(root: str, o: Options = Options()) -> list[tuple[str, int]]:
     if not os.path.isdir(top):
         raise IndexerError(f"no such folder: {root}")
     sources = ([".gitignore", ".ignore"] if o.respect_gitignore else []) + ([o.ignore_file] if o.ignore_file else [])
-    first = _rules(os.path.join(top, ".git", "info", "exclude")) if o.respect_gitignore else []
+    levels0 = [("", r) for r in (_global_rules(), _rules(os.path.join(top, ".git", "info", "exclude"))) if r] if o.respect_gitignore else []
+    in_git = os.path.exists(os.path.join(top, ".git")) or any(os.path.exists(os.path.join(u, ".git")) for u in _parents(top))
+    higher = _above(top, sources, in_git)
     found: list[tuple[str, int]] = []
     # every kind of ignore file has levels of its own, as the kind decides before the depth
-    todo: list[tuple[str, str, list[list[tuple[str, list]]], frozenset[str]]] = [(top, "", [[("", first)] if first else []] + [[] for _ in sources], frozenset([top]))]
+    todo: list[tuple[str, str, list[list[tuple[str, list]]], frozenset[str]]] = [(top, "", [levels0] + higher, frozenset([top]))]
     while todo:
         folder, base, kinds, above = todo.pop()
         here = [kinds[0]] + [k + ([(base, r)] if (r := _rules(os.path.join(folder, name))) else []) for k, name in zip(kinds[1:], sources)]
@@ -163,6 +195,12 @@ def walk(root: str, o: Options = Options()) -> list[tuple[str, int]]:
     return sorted(found)
 
 
+def _parents(folder: str) -> Iterator[str]:
+    while (up := os.path.dirname(folder)) != folder:
+        yield up
+        folder = up
+
+
 def _below(real: str, top: str) -> bool:
     return real == top or real.startswith(top.rstrip("/") + "/")
 
@@ -188,6 +226,18 @@ class _Chunk(InputPartition):
         self.files = files
 
 
+def read_files(root: str, files: list[tuple[str, int]]) -> Iterator[tuple[str, int, bytes]]:
+    """(path, size, content) of those that hold no NUL; a file that can't be read is empty."""
+    for rel, size in files:
+        try:
+            with open(os.path.join(root, rel), "rb") as f:
+                content = f.read()
+        except OSError:
+            content = b""
+        if b"\x00" not in content[: P.SNIFFED_BYTES]:
+            yield rel, size, content
+
+
 class _Reader(DataSourceReader):
     def __init__(self, root: str, options: Options, chunk: int):
         self.root, self.options, self.chunk = root, options, chunk
@@ -197,14 +247,7 @@ class _Reader(DataSourceReader):
         return [_Chunk(files[i : i + self.chunk]) for i in range(0, len(files), self.chunk)] or [_Chunk([])]
 
     def read(self, partition: _Chunk) -> Iterator[tuple]:
-        for rel, size in partition.files:
-            try:
-                with open(os.path.join(self.root, rel), "rb") as f:
-                    content = f.read()
-            except OSError:
-                content = b""
-            if b"\x00" not in content[: P.SNIFFED_BYTES]:
-                yield rel, size, content
+        yield from read_files(self.root, partition.files)
 
 
 class RepoSource(DataSource):
@@ -225,14 +268,42 @@ class RepoSource(DataSource):
 
 
 def read_repo(spark: SparkSession, root: str, o: Options = Options(), files_per_partition: int = 256) -> DataFrame:
-    """The files of a tree; raises where it leads out of itself or holds too many files."""
-    spark.dataSource.register(RepoSource)
-    root = os.path.abspath(root)  # the processes that plan and read have working folders of their own
-    walk(root, o)  # the errors of the walk, as they are
-    df = (
-        spark.read.format("repo").option("maxFileBytes", str(o.max_file_bytes)).option("followSymlinks", str(o.follow_symlinks)).option("respectGitignore", str(o.respect_gitignore))
-        .option("ignoreFile", o.ignore_file or "").option("onEscape", o.on_escape).option("filesPerPartition", str(files_per_partition)).load(root)
-    )
-    if df.select("path").limit(o.max_file_count + 1).count() > o.max_file_count:
+    """The files of a tree; raises where it leads out of itself or holds too many files.
+
+    The tree is walked here, once, and each file is read when the result is used.  Files are counted in the
+    walk; only where that finds more than the limit are they read to tell how many of them are binary.
+    """
+    root = os.path.abspath(root)  # the processes that read have working folders of their own
+    files = walk(root, o)
+    df = _contents(spark, root, files, files_per_partition)
+    if len(files) > o.max_file_count and df.select("path").limit(o.max_file_count + 1).count() > o.max_file_count:
         raise FileCountLimitExceeded(f"more than {o.max_file_count} files")
     return df
+
+
+def list_repo(spark: SparkSession, root: str, o: Options = Options(), files_per_partition: int = 256) -> DataFrame:
+    """(path, size) of the tree's files without reading them; binary ones are told by their names alone."""
+    files = walk(os.path.abspath(root), o)
+    return spark.createDataFrame(files, "path string, size bigint")
+
+
+def _contents(spark: SparkSession, root: str, files: list[tuple[str, int]], chunk: int) -> DataFrame:
+    rows = spark.createDataFrame(files, "path string, size bigint").repartition(max(1, -(-len(files) // chunk)))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, held = [], 0
+            for r in read_files(root, list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))):
+                found.append(r)
+                held += len(r[2])
+                if held > 16 << 20:
+                    yield _batch(found)
+                    found, held = [], 0
+            yield _batch(found)
+
+    return rows.mapInArrow(run, SCHEMA)
+
+
+def _batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+    p, s, c = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(p, pa.string()), pa.array(s, pa.int64()), pa.array(c, pa.binary())], names=["path", "size", "content"])

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tessera import api, cli
 from tessera.functions import paths, text, tokens
-from tessera.operators import latch
+from tessera.operators import latch, lookup, store
 from tessera.operators.pack import ContextPlugin, Packer
 from tessera.operators.store import IndexStore
-from tessera.parsing.tables import with_symbols
+from tessera.parsing.languages import BY_EXTENSION
+from tessera.parsing.tables import symbols_of, with_symbols
 from tessera.sources import repo
 from tessera.streaming.incremental import merge_batch
 
@@ -115,6 +116,26 @@ def test_store(spark, tmp_path):
     assert s.file_hash("a.py") != before and s.symbols().where("path = 'a.py'").count() == 0 and s.files().count() == 3 and s.version() == v + 1
     s.delete(spark.createDataFrame([("c.rs",)], "path string"))
     assert s.symbols().count() == 0 and s.files().count() == 2
+    s.upsert_file("d.py", b"def f(): pass\n", symbols=symbols_of("def f(): pass\n", BY_EXTENSION["py"]))
+    s.insert_symbol("d.py", {"name": "g", "qualified_name": "g", "kind": "Function", "start": 4, "end": 7, "body_start": None, "body_end": None, "ord": 1})
+    assert sorted(r.id for r in s.symbols().collect()) == ["d.py::f", "d.py::g"] and s.symbol_content("d.py::g") == b"f()"
+    with pytest.raises(LookupError):
+        s.insert_symbol("nope", {"qualified_name": "g"})
+
+
+def test_layers_are_compacted_and_writers_collide(spark, tmp_path):
+    s = IndexStore(spark, str(tmp_path / "s"), 1)
+    for i in range(store.MAX_LAYERS + 3):
+        s.merge(parsed(spark, {"a.py": f"def f{i}(): pass\n", f"b{i}.txt": "x"}), removed=spark.createDataFrame([(f"b{i - 2}.txt",)], "path string"))
+        layers = s.manifest()["layers"]["0"]
+        assert len(layers) <= store.MAX_LAYERS and [r.name for r in s.symbols().collect()] == [f"f{i}"]
+        assert sorted(r.path for r in s.files().collect()) == sorted(["a.py", f"b{i}.txt"] + [f"b{i - 1}.txt"] * (i > 0))
+    assert 1 < len(layers) < store.MAX_LAYERS
+    v, m = s.version(), s.manifest()
+    s._publish(m, v)
+    with pytest.raises(RuntimeError):
+        s._publish(m, v)  # another writer has published v + 1
+    assert s.version() == v + 1
 
 
 REPO = {"dummy.rs": "// a comment\n/* block */\npub fn hello_world() {\n    let x = 1;\n}\n\n\n\nstruct Unit;\n", "dummy.toml": '[a]\nb = "c"\n', "base64.txt": 'x = "' + "QUJD" * 32 + '"\n'}
@@ -180,3 +201,33 @@ def test_stream_batches(spark, tmp_path):
     assert [r.id for r in s.symbols().collect()] == ["a.py::g"] and s.version() == 1
     merge_batch(s, spark.createDataFrame([("a.py", None, 3)], batch.schema), "at")
     assert s.symbols().count() == 0 and s.files().count() == 1
+
+
+def test_containing_in_blocks_and_odd_rows(spark):
+    texts = spark.createDataFrame([(1, "abcabd", "x"), (2, None, "y"), (3, "", "z"), (4, "abd abd", None)], "id int, t string, found_ string")
+    parts = spark.createDataFrame([("abc", 1), ("abd", 2), ("abd", 3), ("", 4), (None, 5)], "p string, k int")
+    want = {(i, k) for i, t in ((1, "abcabd"), (3, ""), (4, "abd abd")) for p, k in (("abc", 1), ("abd", 2), ("abd", 3), ("", 4)) if p in t}
+    for most in (10**6, 4, 1):
+        out = lookup.containing(texts, parts, texts["t"], parts["p"], most)
+        assert out.columns == ["id", "t", "found_", "p", "k"] and {(r.id, r.k) for r in out.collect()} == want and out.count() == len(want)
+    assert lookup.containing(texts.limit(0), parts, texts["t"], parts["p"]).collect() == [] and lookup.containing(texts, parts.limit(0), texts["t"], parts["p"]).collect() == []
+
+
+def test_ignore_files_above_and_global(tmp_path, monkeypatch):
+    home = tmp_path / "home"
+    write(home, {".config/git/ignore": "*.bak\n"})
+    monkeypatch.setenv("HOME", str(home))
+    monkeypatch.delenv("XDG_CONFIG_HOME", raising=False)
+    tree = tmp_path / "r"
+    write(tree, {".git/HEAD": "x", ".gitignore": "*.log\n/sub/top.txt\n", ".ignore": "secret/\n", "sub/a.log": "x", "sub/top.txt": "x", "sub/deep/top.txt": "x", "sub/secret/x.txt": "x", "sub/b.bak": "x", "sub/k.txt": "x", "sub/.gitignore": "!keep.log\n", "sub/keep.log": "x"})
+    write(tmp_path, {".gitignore": "k.txt\n"})  # above the repository: not its rule
+    assert names(tree / "sub") == ["deep/top.txt", "k.txt", "keep.log"]
+    assert names(tree / "sub", respect_gitignore=False) == ["a.log", "b.bak", "deep/top.txt", "k.txt", "keep.log", "secret/x.txt", "top.txt"]
+
+
+def test_skipped_files_are_named(spark, caplog):
+    files = spark.createDataFrame([("a.txt", b"ok"), ("b.txt", b"\xff"), ("c.txt", None)], "path string, content binary")
+    with caplog.at_level("WARNING"):
+        Packer().text(files)
+    assert [r.getMessage() for r in caplog.records if "skipped" in r.getMessage()] == ["skipped b.txt: not UTF-8", "skipped c.txt: not UTF-8"]
+    assert {r.path for r in Packer().unreadable(files).collect()} == {"b.txt", "c.txt"}

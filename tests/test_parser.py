@@ -64,3 +64,18 @@ def test_languages():
     assert len(LANGUAGES) == 11 and len(BY_EXTENSION) == 18
     assert language_of("a/b.PY") is None and language_of("a/.py") is None and language_of("x/y.tsx").name == "typescript"
     assert [s.kind for s in scanner.parse(b"def f():\n  pass\nclass A: x = 1\n", BY_EXTENSION["py"].with_kinds(**{"def": "Method", "class": None}))] == ["Method"]
+
+
+def test_time_is_linear_where_python_does_not_compile():
+    import time
+
+    began = time.process_time()
+    assert len(scanner.parse(("x = (\nclass K:\n" + "    def f(self):\n        return 1\n" * 15_000).encode(), BY_EXTENSION["py"])) == 15_001
+    scanner.parse(b"def f(\n" * 20_000, BY_EXTENSION["py"])
+    assert time.process_time() - began < 5
+
+
+def test_endless_methods_and_macros():
+    assert read("class U\n  def self.x = 1\n  def w(a) = a + 1\n  def y\n    2\n  end\nend\n", "rb")[0] == ["Class U", "Method U.x", "Method U.w", "Method U.y"]
+    assert read("def w(a) = a + 1\n", "rb") == (["Method w"], "def w(a) = ...\n")
+    assert read("macro_rules! m {\n  ($x:expr) => { fn inner() { } };\n}\nfn real() { m! { fn z() {} } }\n", "rs")[0] == ["Function real"]
