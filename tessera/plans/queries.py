@@ -6,6 +6,8 @@ are known by construction.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths, skeleton, text, tokens
 from tessera.operators import changes, latch, lookup, pack
+from tessera.operators.lineage import shared_folder
+from tessera.operators.store import IndexStore
 from tessera.parsing.tables import exploded, with_symbols
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,10 +99,11 @@ def f7_size(spark, d):
     return _t(spark, d, "documents").select("doc_id", size.alias("size")).where(~paths.is_oversized(F.col("size"), 2000))
 
 
-@query("SELECT doc_id, doc_id % 3 = 0 AS binary FROM documents")
+@query("SELECT doc_id, strlen(text) < 8192 AS binary FROM documents")
 def f8_nul_bytes(spark, d):
-    marked = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring(F.encode("text", "utf-8"), 1, 100), F.lit(bytearray(b"\x00")))).otherwise(F.encode("text", "utf-8"))
-    return _t(spark, d, "documents").select("doc_id", paths.has_nul(marked).alias("binary"))
+    """A NUL in the middle of every text, twice over: it counts where it is among the first 8,192 bytes."""
+    whole = F.encode("text", "utf-8")
+    return _t(spark, d, "documents").select("doc_id", paths.has_nul(F.concat(whole, F.lit(bytearray(b"\x00")), whole)).alias("binary"))
 
 
 @query(f"WITH l AS ({_LISTING_SQL}) SELECT p_partkey, path, regexp_matches(path, '\\.(rs|tsx|py)$') AND NOT regexp_matches(path, '^web/.*$') AS selected FROM l")
@@ -122,19 +127,13 @@ def p1_p9_p10_paths(spark, d):
     return _listing(spark, d).select("p_partkey", paths.relative_to("/r/t", F.concat(F.lit("/r/t/"), path)).alias("relative"), paths.displayed(".", path).alias("shown"), paths.without_dot_slash(F.concat(F.lit("./"), path)).alias("bare"))
 
 
-@query("SELECT doc_id, substring(text, 4, 20) AS part FROM documents WHERE strlen(text) = length(text)")
-def p11_byte_slice(spark, d):
-    docs = _t(spark, d, "documents").where(F.octet_length("text") == F.length("text"))
-    return docs.select("doc_id", text.byte_slice(F.encode("text", "utf-8"), F.lit(3), F.lit(20)).cast("string").alias("part"))
-
-
 @query("SELECT doc_id, substring(hex(encode(text)), 7, 40) AS part FROM documents")
-def p11_byte_slice_whole(spark, d):
-    """All documents; the bytes in hexadecimal, as a slice may begin or end inside a character."""
+def p11_byte_slice(spark, d):
+    """The bytes in hexadecimal, as a slice may begin or end inside a character."""
     return _t(spark, d, "documents").select("doc_id", F.hex(text.byte_slice(F.encode("text", "utf-8"), F.lit(3), F.lit(20))).alias("part"))
 
 
-@query()
+@query(f"SELECT {_PATH} AS path, 'h' || chr(65533) || 'w' || text AS text FROM documents")
 def p8_lossy_decode(spark, d):
     return _files(spark, d).select("path", text.decoded(F.concat(F.lit(bytearray(b"h\xffw")), "content")).alias("text"))
 
@@ -196,32 +195,29 @@ def e4_search(spark, d):
     return lookup.search(_symbols(spark, d), "C1%.M")
 
 
-@query(f"WITH {_CODE_SQL} SELECT path || '::C' || k || '.m' || m AS id, 'def m' || m || '(self):' || chr(10) || '        return 1' AS content FROM code")
-def e2_j1_symbol_contents(spark, d):
-    found = lookup.symbol_contents(_symbols(spark, d).where(F.contains("name", F.lit(".m"))), _code(spark, d))
-    return found.select("id", F.col("content").cast("string").alias("content"))
-
-
-@query(f"WITH {_CODE_SQL} SELECT c.path, CAST(count(s.name) AS BIGINT) AS n FROM code c LEFT JOIN (SELECT * FROM syms WHERE path LIKE '%1.py') s ON c.path = s.path GROUP BY c.path")
-def j3_files_with_symbols(spark, d):
-    some = _symbols(spark, d).where(F.endswith("path", F.lit("1.py")))
-    return lookup.files_with_symbols(_code(spark, d).select("path"), some).select("path", F.coalesce(F.size("symbols"), F.lit(0)).cast("long").alias("n"))
-
-
 @query(f"""WITH {_CODE_SQL} SELECT path || '::' || name AS id, CASE WHEN kind = 'Class' THEN 'class C' || k || ':' || chr(10) || '    ' ELSE '' END || CASE WHEN name = 'after' THEN 'def after():' || chr(10) || '    pass' ELSE 'def m' || m || '(self):' || chr(10) || '        return 1' END AS content
 FROM code JOIN syms USING (path)""")
-def e2_j1_symbol_contents_whole(spark, d):
+def e2_j1_symbol_contents(spark, d):
     """All symbols: the class, its method and the function of every file."""
     return lookup.symbol_contents(_symbols(spark, d), _code(spark, d)).select("id", F.col("content").cast("string").alias("content"))
 
 
 @query(f"WITH {_CODE_SQL} SELECT f.path, CAST(count(s.name) AS BIGINT) AS n FROM (SELECT path FROM code UNION ALL SELECT {_PATH} FROM documents) f LEFT JOIN syms s ON f.path = s.path GROUP BY f.path")
-def j3_files_with_symbols_whole(spark, d):
-    """The whole symbol table against the code and the documents, which are parsed too but have no symbols."""
+def j3_files_with_symbols(spark, d):
+    """The whole symbol table against the code and the documents, which have no symbols."""
     files = _code(spark, d).select("path", "content").unionByName(_files(spark, d).select("path", "content"))
     return lookup.files_with_symbols(files.select("path"), exploded(with_symbols(files))).select("path", F.coalesce(F.size("symbols"), F.lit(0)).cast("long").alias("n"))
 
 
+@query(f"""WITH f AS (SELECT path FROM ({_LISTING_SQL}) GROUP BY path), l AS (SELECT path AS shown FROM f UNION ALL SELECT './' || path FROM f),
+m AS (SELECT shown, min(f.path) AS path FROM l JOIN f ON ends_with(shown, f.path) AND (shown = f.path OR shown = './' || f.path) GROUP BY shown) SELECT shown, path FROM m""")
+def j4_same_path(spark, d):
+    """Listed paths, with and without their dot and slash, matched to the index by the whole path below the root."""
+    files = _listing(spark, d).select("path").distinct()
+    shown = files.select(F.col("path").alias("shown")).unionByName(files.select(F.concat(F.lit("./"), "path").alias("shown")))
+    return shown.join(files, paths.without_dot_slash(F.col("shown")) == F.col("path")).select("shown", "path")
+
+
 @query("SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)")
 def j4_containing(spark, d):
     docs, items = _t(spark, d, "documents"), _t(spark, d, "benchmark").withColumnRenamed("text", "passage")
@@ -230,13 +226,16 @@ def j4_containing(spark, d):
 
 # ---------------------------------------------------------------- changes
 
-_SNAP = "a AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS hash FROM documents WHERE doc_id % 11 <> 0), b AS (SELECT doc_id, sha256(text) AS hash FROM documents WHERE doc_id % 13 <> 0)"
+# two versions of the documents: the newer lacks what is labelled toxic and has changed what is labelled bad, the older lacks one language
+_SNAP = """a AS (SELECT d.doc_id, CASE WHEN l.quality = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS hash FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE coalesce(l.toxic, 0) = 0),
+b AS (SELECT doc_id, sha256(text) AS hash FROM documents WHERE lang <> 'es')"""
 
 
 def _snapshots(spark, d):
-    docs = _t(spark, d, "documents")
-    a = docs.where("doc_id % 11 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).cast("binary"), 256).alias("hash"))
-    return a, docs.where("doc_id % 13 <> 0").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels").withColumnRenamed("doc_id", "label_id")
+    joined = docs.join(labels, docs["doc_id"] == labels["label_id"], "left").where(F.coalesce("toxic", F.lit(0)) == 0)
+    a = joined.select("doc_id", F.sha2(F.when(F.col("quality") == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).cast("binary"), 256).alias("hash"))
+    return a, docs.where("lang <> 'es'").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
 
 
 @query(f"WITH {_SNAP} SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'ADD' WHEN a.doc_id IS NULL THEN 'DEL' WHEN a.hash = b.hash THEN 'SAME' ELSE 'MOD' END AS change FROM a FULL JOIN b ON a.doc_id = b.doc_id")
@@ -342,8 +341,44 @@ def r8_skeleton_map(spark, d):
     return pack.Packer("markdown").summary(_code(spark, d).select("path", "content"), _symbols(spark, d))
 
 
-@query()
+# what is packed: the code, parsed and elided, and the documents; cleaned, then without comments, as their options say
+_CLEAN = "regexp_replace(regexp_replace({t}, '\\n\\s*\\n', chr(10), 'g'), '[A-Za-z0-9+/=]{{100,}}', '[TRUNCATED_BASE64]', 'g')"
+_BARE = "regexp_replace(regexp_replace({t}, '(?s)/\\*.*?\\*/|<!--.*?-->', '', 'g'), '(//|#).*\\n', chr(10), 'g')"
+_TOKENS = "CAST(ceil(strlen({t}) / 4.0) AS BIGINT)"
+_PACK_SQL = f"""WITH {_CODE_SQL},
+c AS (SELECT path, chr(10) || 'class C' || k || ':...' || chr(10) || 'def after():...' || chr(10) AS content, '      <signature>Class C' || k || '</signature>' || chr(10) || '      <signature>Function C' || k || '.m' || m || '</signature>' || chr(10) || '      <signature>Function after</signature>' || chr(10) AS signatures FROM code
+ UNION ALL SELECT {_PATH}, {_BARE.format(t=_CLEAN.format(t='text'))}, '' FROM documents),
+head AS (SELECT 0 AS section, '' AS path, '<repository>' || chr(10) AS text UNION ALL SELECT 1, '', '  <skeleton_map>' || chr(10)
+ UNION ALL SELECT 2, path, '    <file path="./' || path || '">' || chr(10) || signatures || '    </file>' || chr(10) FROM c UNION ALL SELECT 3, '', '  </skeleton_map>' || chr(10)),
+b AS (SELECT path, content, '  <file path="./' || path || '">' || chr(10) AS opening, '    <content><![CDATA[' || chr(10) || replace(content, ']]>', ']]]]><![CDATA[>') || chr(10) || ']]></content>' || chr(10) AS body FROM c),
+s AS (SELECT path, opening, body, {_TOKENS.format(t='content')} AS n, {_TOKENS.format(t="opening || body || '  </file>' || chr(10)")} AS whole FROM b),
+r AS (SELECT *, (SELECT sum({_TOKENS.format(t='text')}) FROM head) + coalesce(sum(whole) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n > {{limit}} AS over FROM s),
+l AS (SELECT path, opening, body, bool_or(over) OVER (ORDER BY path ROWS UNBOUNDED PRECEDING) AS degraded FROM r)
+SELECT section, path, text FROM head UNION ALL SELECT 9, '', '</repository>' || chr(10)
+UNION ALL SELECT 4, path, opening || CASE WHEN degraded THEN '' ELSE body END || '  </file>' || chr(10) FROM l"""
+_PACK_LIMIT = 200_000
+
+
+def _packed(spark, d, counter, limit=_PACK_LIMIT):
+    files = _code(spark, d).select("path", "content").unionByName(_files(spark, d).select("path", "content"))
+    return pack.Packer("xml", max_tokens=limit, remove_comments=True, truncate_base64=True, remove_empty_lines=True, counter=counter).rows(files)
+
+
+@query(_PACK_SQL.replace("{limit}", str(_PACK_LIMIT)))
 def e5_pack(spark, d):
+    """Code and documents: skeleton map, elision, cleaning, budget latch, envelope; tokens by a quarter of the bytes."""
+    return _packed(spark, d, tokens.by_quarter_bytes)
+
+
+@query(_PACK_SQL.replace("{limit}", str(10**12)))
+def e5_pack_all(spark, d):
+    """The same under a budget that no table here exceeds, so that every content is in it."""
+    return _packed(spark, d, tokens.by_quarter_bytes, 10**12)
+
+
+@query()
+def e5_pack_ranks(spark, d):
+    """The documents, tokens by the local rank file."""
     return pack.Packer("xml", max_tokens=50_000, remove_comments=True, truncate_base64=True, remove_empty_lines=True, counter=tokens.local()).rows(_files(spark, d).select("path", "content"))
 
 
@@ -368,3 +403,97 @@ class _Even(pack.ContextPlugin):
 def u1_u2_plugins(spark, d):
     m = pack.enriched(F.create_map().cast("map<string,string>"), [_Size(), _Even()], F.col("path"), F.col("text"))
     return _files(spark, d).select("path", m.alias("m")).select("path", F.col("m.by").alias("by"), F.col("m.size").alias("size"))
+
+
+# ---------------------------------------------------------------- languages, the index on disk
+
+#: Extension -> (source, (name, kind, the symbol's text) of each symbol); K and M stand for a part's key and size.
+_TEMPLATES = {
+    "rs": ("struct SK {\n  a: u32,\n}\nimpl SK {\n  pub fn mM(&self) -> u32 { 1 }\n}\n", [("SK", "Struct", "struct SK {\n  a: u32,\n}"), ("SK", "Impl", "impl SK {\n  pub fn mM(&self) -> u32 { 1 }\n}"), ("SK.mM", "Function", "pub fn mM(&self) -> u32 { 1 }")]),
+    "java": ("// {\npublic class CK {\n  public void mM(int a) { if (a > 1) { f(); } }\n}\n", [("CK", "Class", "public class CK {\n  public void mM(int a) { if (a > 1) { f(); } }\n}"), ("CK.mM", "Method", "public void mM(int a) { if (a > 1) { f(); } }")]),
+    "c": ("int fK(int a) {\n  return M;\n}\n", [("fK", "Function", "int fK(int a) {\n  return M;\n}")]),
+    "cpp": ("namespace NK { class A { int gM() const { return 1; } }; }\n", [("NK", "Class", "namespace NK { class A { int gM() const { return 1; } }; }"), ("NK.A", "Class", "class A { int gM() const { return 1; } }"), ("NK.A.gM", "Function", "int gM() const { return 1; }")]),
+    "cs": ('public class CK {\n  public int mM(string s) { return X("}"); }\n}\n', [("CK", "Class", 'public class CK {\n  public int mM(string s) { return X("}"); }\n}'), ("CK.mM", "Method", 'public int mM(string s) { return X("}"); }')]),
+    "rb": ("class CK\n  def mM(a)\n    a if a\n  end\nend\n", [("CK", "Class", "class CK\n  def mM(a)\n    a if a\n  end\nend"), ("CK.mM", "Method", "def mM(a)\n    a if a\n  end")]),
+    "php": ("<?php\nclass CK {\n  public function mM($r) { return 1; }\n}\nfunction top() { }\n", [("CK", "Class", "class CK {\n  public function mM($r) { return 1; }\n}"), ("CK.mM", "Method", "public function mM($r) { return 1; }"), ("top", "Function", "function top() { }")]),
+    "swift": ("protocol QK { }\nclass CK {\n  func mM() { }\n}\n", [("QK", "Interface", "protocol QK { }"), ("CK", "Class", "class CK {\n  func mM() { }\n}"), ("CK.mM", "Function", "func mM() { }")]),
+    "go": ("package p\n\nfunc (t *T) mM() int { return 1 }\nfunc FK() {\n}\n", [("mM", "Method", "func (t *T) mM() int { return 1 }"), ("FK", "Function", "func FK() {\n}")]),
+    "ts": ("class CK {\n  async mM(a: number): Promise<void> { if (a) { x(); } }\n}\nfunction fK() { return 1; }\n", [("CK", "Class", "class CK {\n  async mM(a: number): Promise<void> { if (a) { x(); } }\n}"), ("CK.mM", "Method", "async mM(a: number): Promise<void> { if (a) { x(); } }"), ("fK", "Function", "function fK() { return 1; }")]),
+}
+
+
+def _pieces(template: str) -> list[str]:
+    """The template cut at K and M where those stand for a number."""
+    return [p for p in re.split(r"((?<=[SCNfQF])K|(?<=[mgM ])M(?![\w]{2}))", template) if p]
+
+
+def _filled(template: str):
+    return F.concat(*[F.col("p_partkey" if p == "K" else "p_size").cast("string") if p in ("K", "M") else F.lit(p) for p in _pieces(template)])
+
+
+def _filled_sql(template: str) -> str:
+    return "concat(" + ", ".join("p_partkey" if p == "K" else "p_size" if p == "M" else "'" + p.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for p in _pieces(template)) + ")"
+
+
+def _polyglot(spark, d) -> DataFrame:
+    """(path, content): a file in each of ten languages for every part."""
+    each = F.explode(F.array(*[F.struct(F.concat(F.lit("poly/"), F.col("p_partkey").cast("string"), F.lit(f".{e}")).alias("path"), F.encode(_filled(src), "utf-8").alias("content")) for e, (src, _) in _TEMPLATES.items()]))
+    return _t(spark, d, "part").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism, "p_partkey").select(each.alias("f")).select("f.*")
+
+
+_POLY_SQL = "poly AS (" + " UNION ALL ".join(f"SELECT p_partkey, p_size, 'poly/' || p_partkey || '.{e}' AS path, {_filled_sql(src)} AS src FROM part" for e, (src, _) in _TEMPLATES.items()) + "),\nfound AS (" + " UNION ALL ".join(
+    f"SELECT path, {_filled_sql(name)} AS name, '{kind}' AS kind, CAST(strpos(src, {_filled_sql(snippet)}) - 1 AS BIGINT) AS byte_offset, CAST(strlen({_filled_sql(snippet)}) AS BIGINT) AS byte_length FROM poly WHERE ends_with(path, '.{e}')"
+    for e, (_, symbols) in _TEMPLATES.items() for name, kind, snippet in symbols if (name, kind) != ("SK", "Struct")
+) + ")"  # of the struct and its implementation, which have one name, the later wins
+
+
+@query(f"WITH {_POLY_SQL} SELECT path || '::' || name AS id, path, name, kind, byte_offset, byte_length FROM found")
+def t1_languages(spark, d):
+    """Symbols of ten languages."""
+    return exploded(with_symbols(_polyglot(spark, d))).select("id", "path", "name", "kind", "byte_offset", "byte_length")
+
+
+def _hashed(files: DataFrame) -> DataFrame:
+    return files.select("path", text.sha256(F.col("content")).alias("hash"), "content")
+
+
+def _indexed(spark, d) -> IndexStore:
+    """An index on disk after three steps: all files; then those of large parts changed, only which are parsed again; then those of one size removed."""
+    s = IndexStore(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    s.merge(with_symbols(_hashed(_polyglot(spark, d))))
+    sizes = _t(spark, d, "part").select(F.concat(F.lit("poly/"), F.col("p_partkey").cast("string")).alias("stem"), "p_size")
+    now = _polyglot(spark, d).withColumn("stem", F.substring_index("path", ".", 1)).join(sizes, "stem")
+    edited = F.concat(F.when((F.col("p_size") > 25) & F.col("path").endswith(".go"), F.encode(F.lit("// edited\n"), "utf-8")).otherwise(F.encode(F.lit(""), "utf-8")), "content")
+    s.merge(with_symbols(changes.changed(_hashed(now.select("path", edited.alias("content"))), s.files().select("path", "hash"))))
+    s.delete(now.where("p_size = 1").select("path"))
+    return s
+
+
+_EDIT = "CASE WHEN p_size > 25 AND ends_with(path, '.go') THEN '// edited' || chr(10) ELSE '' END"
+_INDEX_SQL = f"{_POLY_SQL}, kept AS (SELECT path, {_EDIT} || src AS src, CASE WHEN p_size > 25 AND ends_with(path, '.go') THEN 10 ELSE 0 END AS shift FROM poly WHERE p_size <> 1)"
+
+
+@query(f"WITH {_INDEX_SQL} SELECT path, sha256(src) AS hash, src AS content FROM kept")
+def e1_k3_index_files(spark, d):
+    """The files of the index after indexing, re-indexing and deleting."""
+    return _indexed(spark, d).files().select("path", "hash", F.col("content").cast("string").alias("content"))
+
+
+@query(f"WITH {_INDEX_SQL} SELECT path || '::' || name AS id, kind, byte_offset + shift AS byte_offset, byte_length FROM found JOIN kept USING (path)")
+def i2_k4_index_symbols(spark, d):
+    """Its symbols: replaced with their files, gone with them."""
+    return _indexed(spark, d).symbols().select("id", "kind", "byte_offset", "byte_length")
+
+
+@query(f"WITH {_INDEX_SQL} SELECT kind, name FROM found JOIN kept USING (path) WHERE path = (SELECT max(path) FROM kept WHERE ends_with(path, '.php')) ORDER BY byte_offset")
+def e9_j2_file_symbols(spark, d):
+    """The symbols of one file by its path, read from one bucket."""
+    s = _indexed(spark, d)
+    return s.file_symbols(s.files().where(F.col("path").endswith(".php")).agg(F.max("path")).first()[0])
+
+
+@query(f"WITH {_INDEX_SQL} SELECT path || '::' || name AS id, substring(src, CAST(byte_offset + shift + 1 AS BIGINT), byte_length) AS content FROM found JOIN kept USING (path)")
+def e2_index_contents(spark, d):
+    """The text of every symbol of the index."""
+    s = _indexed(spark, d)
+    return lookup.symbol_contents(s.symbols(), s.files()).select("id", F.col("content").cast("string").alias("content"))
