@@ -19,7 +19,7 @@ from tessera.functions.tokens import TokenCounter, by_quarter_bytes
 from tessera.operators import latch
 from tessera.operators.lineage import checkpointed
 from tessera.parsing.languages import Language
-from tessera.parsing.tables import with_symbols
+from tessera.parsing.tables import with_skeletons, with_symbols
 
 log = logging.getLogger(__name__)
 _NO_METADATA = "map<string,string>"
@@ -117,7 +117,7 @@ class Packer:
         if self.full:
             shown = readable.select("path", F.col("content").cast("string").alias("content"))
         else:
-            shown = with_symbols(readable, languages=self.languages).select("path", skeleton.elide(F.col("content"), F.col("symbols")).alias("content"))
+            shown = with_skeletons(readable, languages=self.languages).select("path", F.coalesce("skeleton", "content").cast("string").alias("content"))
         if self.remove_comments:
             shown = shown.select("path", text.strip_comments(F.col("content")).alias("content"))
         return shown.select("path", "content", enriched(F.create_map().cast(_NO_METADATA), self.plugins, F.col("path"), F.col("content")).alias("metadata"))
