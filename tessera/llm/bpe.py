@@ -34,7 +34,9 @@ from tessera.llm import common as C
 
 VOCABULARY = os.environ.get("TESSERA_BPE", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_WORDS, MAX_VOCABULARY = 400_000, 64 << 20
+MAX_VOCABULARY = 64 << 20
+#: Pre-tokens and neighbouring pairs that each Python worker remembers: some 40 and 30 MB.
+KEPT_WORDS, KEPT_PAIRS = 150_000, 250_000
 _NONE = 1 << 60
 
 
@@ -54,7 +56,7 @@ class Codec:
             self.auto.add_word(b.decode("latin-1"), (len(b), r))
         self.auto.make_automaton()
         self.pairs: dict[tuple[int, int], int] = {}
-        self.memo: dict[tuple[int, int], bool] = {}
+        self.memo: dict[int, bool] = {}
         self.split: list[tuple[int, int]] = [(i, i) for i in range(self.size)]
         self.shorter: list[int] = [-1] * self.size
         for r in range(self.size):
@@ -72,7 +74,6 @@ class Codec:
                     self.split[r] = (left, right)
                     break
                 left = self.shorter[left]
-        self.memo.clear()
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether merging leaves a and b beside each other: no merge across the boundary comes before one that made them."""
@@ -98,10 +99,10 @@ class Codec:
                         return True
 
     def fits(self, a: int, b: int) -> bool:
-        k = (a, b)
+        k = a * self.size + b
         v = self.memo.get(k)
         if v is None:
-            if len(self.memo) > 1_000_000:
+            if len(self.memo) >= KEPT_PAIRS:
                 self.memo.clear()
             v = self.memo[k] = self._fits(a, b)
         return v

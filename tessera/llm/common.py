@@ -25,8 +25,15 @@ _ROOT = Path(__file__).resolve().parents[2]
 
 # ---------------------------------------------------------------- session
 
+#: Bytes of an Arrow batch on its way to Python; Spark's own bound lets two batches of long texts fill a worker.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Make the package importable on executors whose PYTHONPATH lacks it."""
+    """Make the package importable on executors whose PYTHONPATH lacks it, and bound the session's Arrow batches."""
+    bound = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+    if not 0 < bound <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     on_path = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     sc = spark.sparkContext
     if str(_ROOT) in on_path or getattr(sc, "_tessera_shipped", False):
@@ -92,8 +99,8 @@ def rewritten(docs: DataFrame, change: Callable[[str], str], candidates: Callabl
             cols = list(b.columns)
             some = candidates(cols[at]) if candidates else pc.is_valid(cols[at])
             rows = np.flatnonzero(pc.fill_null(some, False).to_numpy(zero_copy_only=False))
-            old = cols[at].take(pa.array(rows)).to_pylist()
-            new = {int(i): y for i, x in zip(rows, old) if (y := change(x)) != x}
+            texts = cols[at]
+            new = {i: y for i in rows.tolist() if (y := change(x := texts[i].as_py())) != x}  # one decoded at a time
             if new:
                 mask = np.zeros(b.num_rows, bool)
                 mask[list(new)] = True
