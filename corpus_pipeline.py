@@ -2,11 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's documents.  All but the last return the columns of documents.
+
+Defined cases, by stage: null, empty and letterless texts are rejected by the first; of rows that repeat an id
+and text one stays, of near copies the one with the least id, null ids stay; n_chars follows a text in which a
+secret was masked; a null source is mixed as a source of its own, and the mixed table has as many rows as the
+one before it, with repeats; every row that is left gets its tokens.  Very long texts are handled whole, ties
+are settled as the operators say, other columns (of whatever name) come along until the last stage, and an
+empty table stays empty.  A document whose language label is null is judged by its text like any other.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,15 +49,10 @@ STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("secret_sca
 ORACLE_SQL = None  # n-gram models, sketches and merges aren't SQL; see tests/llm/test_pipeline.py
 
 
-def _folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is set."""
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-pipeline-")
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = f"{common.shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
