@@ -5,7 +5,9 @@ import random
 
 import pytest
 
-from tessera.operators import digest
+from tessera.functions import tokens
+from tessera.operators import digest, latch
+from tessera.session import BATCH_BYTES
 
 
 @pytest.mark.parametrize("library", [True, False])
@@ -32,3 +34,24 @@ def test_documents_are_hashed_in_pieces(spark):
     for piece in (10**9, 20_000, 3_000):
         got = digest.document_hashes(df, "lang", "path", F.col("text"), F.octet_length("text"), piece).collect()
         assert len(got) == len(want) and {r.lang: r.hash for r in got} == want
+
+
+def test_tokens_are_counted_in_small_batches_and_once(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(setting, "64m")
+    log = tmp_path / "log"
+
+    class Encoding:
+        def encode(self, text, **_):
+            with open(log, "a") as f:
+                f.write(".")
+            return text.split()
+
+    monkeypatch.setattr(tokens, "encoding", lambda *_: Encoding())
+    df = spark.range(300).select(F.format_string("%03d", "id").alias("path"), F.repeat(F.lit("a b "), 20).alias("text"))
+    sized = df.select("path", tokens.by_ranks("none")(F.col("text")).alias("content_tokens")).withColumn("rendered_tokens", F.col("content_tokens") + 7)
+    assert 0 < int(spark.conf.get(setting)) <= BATCH_BYTES
+    assert [r.path for r in latch.degraded(sized, 4_000).where("not degraded").orderBy("path").collect()] == [f"{i:03}" for i in range(85)]
+    assert len(log.read_text()) == 300
