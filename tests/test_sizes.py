@@ -55,3 +55,38 @@ def test_tokens_are_counted_in_small_batches_and_once(spark, tmp_path, monkeypat
     assert 0 < int(spark.conf.get(setting)) <= BATCH_BYTES
     assert [r.path for r in latch.degraded(sized, 4_000).where("not degraded").orderBy("path").collect()] == [f"{i:03}" for i in range(85)]
     assert len(log.read_text()) == 300
+
+
+def test_parsing_takes_no_step_for_each_character():
+    import sys
+
+    from tessera.parsing import scanner
+    from tessera.parsing.languages import BY_EXTENSION
+
+    def calls(source):
+        n = 0
+
+        def count(frame, event, _):
+            nonlocal n
+            n += event in ("call", "c_call")
+
+        sys.setprofile(count)
+        try:
+            found = scanner.parse(source.encode(), BY_EXTENSION["ts"])
+        finally:
+            sys.setprofile(None)
+        return n, [s.qualified_name for s in found]
+
+    short, long = (calls("class C {\n  method(%s: number): void { x(); }\n}\n" % ("a" * k)) for k in (1, 5_000))
+    assert short[1] == long[1] == ["C", "C.method"] and long[0] < 1.5 * short[0]
+
+
+def test_the_start_of_a_body_is_found_from_where_it_is():
+    from tessera.parsing import scanner
+
+    class Text(str):
+        def __getitem__(self, at):
+            assert not isinstance(at, slice) or at.start is not None, "the whole text before the body was copied"
+            return str.__getitem__(self, at)
+
+    assert scanner._body_start(Text("f()\n  {}"), 6) == 3 and scanner._body_start(Text("f() {}"), 4) == 4
