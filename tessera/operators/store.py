@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tessera.operators import changes
-from tessera.operators.lineage import checkpointed
 from tessera.parsing.tables import exploded
 from tessera.schema import FILES, SYMBOL_ARRAY, SYMBOLS
 
@@ -152,7 +151,13 @@ class IndexStore:
         if removed is not None:
             none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("hash", "content", "symbols")]
             rows = rows.unionByName(removed.select("path", *none, F.lit(True).alias("gone")))
-        self._add(checkpointed(rows))
+        # written in columns, not as a checkpoint: what follows reads some columns at a time, and rows with arrays take many times their room
+        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
+        try:
+            rows.write.parquet(staged)
+            self._add(self.spark.read.schema(rows.schema).parquet(staged))
+        finally:
+            self._fs.delete(self._Path(staged), True)
 
     def delete(self, paths: DataFrame) -> None:
         """Removes files and, with them, their symbols."""
@@ -187,7 +192,11 @@ class IndexStore:
         full = {b for b in touched if len(m["layers"].get(str(b), [])) >= MAX_LAYERS}
         folder = f"data/{after + 1:012d}-{uuid.uuid4().hex}"
         kept = delta.where(~F.col("gone"))
-        rows = {"files": kept.select("path", "hash", "content"), "symbols": exploded(kept.where("symbols is not null")), "paths": delta.select("path")}
+        rows = {"files": kept.select("path", "hash", "content"), "symbols": exploded(kept.where("symbols is not null"))}
+        # the paths of a bucket's first layer hide nothing and are never read
+        later = sorted(b for b in touched - full if m["layers"].get(str(b)))
+        if later:
+            rows["paths"] = delta.select("path").where(bucket(F.col("path")).isin(later))
         several = max(1, -(-size.bytes // (len(touched) * FILE_BYTES)))
         for table, new in rows.items():
             if table in TABLES:

@@ -90,3 +90,26 @@ def test_the_start_of_a_body_is_found_from_where_it_is():
             return str.__getitem__(self, at)
 
     assert scanner._body_start(Text("f()\n  {}"), 6) == 3 and scanner._body_start(Text("f() {}"), 4) == 4
+
+
+def test_a_merge_stages_columns_and_writes_no_idle_paths(spark, tmp_path):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text
+    from tessera.operators.store import IndexStore
+    from tessera.parsing.tables import with_symbols
+
+    def parsed(files):
+        return with_symbols(spark.createDataFrame(files, "path string, content binary").select("path", text.sha256(F.col("content")).alias("hash"), "content"))
+
+    def layers():
+        return [sorted(os.listdir(tmp_path / "s/data" / f)) for f in sorted(os.listdir(tmp_path / "s/data"))]
+
+    s = IndexStore(spark, str(tmp_path / "s"), 2)
+    s.merge(parsed([(f"{i}.py", b"def f(): pass\n") for i in range(9)]))
+    assert layers() == [["files", "symbols"]] and sorted(os.listdir(tmp_path / "s")) == ["data", "manifests"]
+    s.merge(parsed([("1.py", b"def g(): pass\n"), ("x.py", b"def h(): pass\n")]), removed=spark.createDataFrame([("2.py",)], "path string"))
+    assert layers()[1] == ["files", "paths", "symbols"]
+    assert sorted(r.id for r in s.symbols().collect()) == sorted([f"{i}.py::f" for i in (0, 3, 4, 5, 6, 7, 8)] + ["1.py::g", "x.py::h"])
