@@ -62,7 +62,7 @@ def get(spark: SparkSession, root: str, symbol_or_path: str, store: str | None =
 def outline(spark: SparkSession, root: str, path: str, store: str | None = None) -> str:
     """A file's skeleton."""
     s = open_store(spark, root, store)
-    row = lookup.outlines(s.file(path), s.symbols_of(path)).head()
+    row = lookup.outlines(s.file(path), s.symbols_of(path), few=True).head()
     if row is None:
         raise NotFound(f"Path not found: {path}")
     return row.outline

@@ -113,3 +113,16 @@ def test_a_merge_stages_columns_and_writes_no_idle_paths(spark, tmp_path):
     s.merge(parsed([("1.py", b"def g(): pass\n"), ("x.py", b"def h(): pass\n")]), removed=spark.createDataFrame([("2.py",)], "path string"))
     assert layers()[1] == ["files", "paths", "symbols"]
     assert sorted(r.id for r in s.symbols().collect()) == sorted([f"{i}.py::f" for i in (0, 3, 4, 5, 6, 7, 8)] + ["1.py::g", "x.py::h"])
+
+
+def test_outlines_spread_by_the_number_of_files(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import lookup
+    from tessera.parsing.tables import exploded, with_symbols
+
+    monkeypatch.setattr(lookup, "TASK_FILES", 10)
+    files = spark.range(400).select(F.concat(F.col("id").cast("string"), F.lit(".py")).alias("path"), F.lit(b"def f(): pass\n").alias("content"))
+    got = lookup.outlines(files, exploded(with_symbols(files))).withColumn("p", F.spark_partition_id()).collect()
+    most = max(sum(r.p == p for r in got) for p in {r.p for r in got})
+    assert len(got) == 400 and {r.outline for r in got} == {"def f():...\n"} and most < 40
